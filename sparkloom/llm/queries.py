@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions.cleaning import clean_label, clean_language, source_origin
-from sparkloom.llm import encode, token_budget
+from sparkloom.llm import encode, shared_spans, token_budget
 from sparkloom.tables import load
 
 
@@ -52,8 +52,31 @@ def p1_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
         GROUP BY GROUPING SETS ((corpus, origin), (corpus, lang), (corpus, domain), (corpus))""")
 
 
+SPAN = 400
+
+
+def _long_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_spans.with_digest(load(spark, sf_dir, "documents"), "doc_id", "text", SPAN)
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents that share at least 400 code points verbatim."""
+    return shared_spans.document_pairs(_long_texts(spark, sf_dir), SPAN)
+
+
+def p8_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each document concerned is shared elsewhere, with its class of copies."""
+    return shared_spans.shared_amounts(_long_texts(spark, sf_dir), SPAN)
+
+
 def queries() -> dict:
-    return {"p1_token_budget": p1_token_budget, "p1_token_rollup": p1_token_rollup, "p6_ids": p6_ids}
+    return {
+        "p1_token_budget": p1_token_budget,
+        "p1_token_rollup": p1_token_rollup,
+        "p6_ids": p6_ids,
+        "p8_found": p8_found,
+        "p8_shared": p8_shared,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
