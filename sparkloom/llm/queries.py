@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions.cleaning import clean_label, clean_language, source_origin
-from sparkloom.llm import encode, shared_spans, token_budget
+from sparkloom.llm import encode, leaks, shared_spans, token_budget
 from sparkloom.tables import load
 
 
@@ -69,11 +69,25 @@ def p8_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans.shared_amounts(_long_texts(spark, sf_dir), SPAN)
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a held-out item's text, or at least half of it."""
+    return leaks.find_leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+def p7_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per held-out item, in how many documents it leaks; 0 for clean items."""
+    items = load(spark, sf_dir, "benchmark").select("item_id", "name", "eval_tier")
+    hits = p7_found(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
+    return items.join(hits, "item_id", "left").select("item_id", "name", "eval_tier", F.coalesce("n", F.lit(0)).alias("n_documents"))
+
+
 def queries() -> dict:
     return {
         "p1_token_budget": p1_token_budget,
         "p1_token_rollup": p1_token_rollup,
         "p6_ids": p6_ids,
+        "p7_found": p7_found,
+        "p7_leaked_items": p7_leaked_items,
         "p8_found": p8_found,
         "p8_shared": p8_shared,
     }
