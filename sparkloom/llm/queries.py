@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions.cleaning import clean_label, clean_language, source_origin
-from sparkloom.llm import encode, leaks, shared_spans, token_budget
+from sparkloom.llm import encode, leaks, pii, shared_spans, token_budget
 from sparkloom.tables import load
 
 
@@ -69,6 +69,25 @@ def p8_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans.shared_amounts(_long_texts(spark, sf_dir), SPAN)
 
 
+PART = ["record_id", "field_name", "part_index"]
+
+
+def _record_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.parts(load(spark, sf_dir, "agentcoder_slice_train"), "record_id", "messages", ["repo_context"])
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of personal mentions of each part of a record."""
+    found = pii.find_mentions(_record_parts(spark, sf_dir), PART)
+    return found.select(*PART, F.explode(F.array_distinct("mentions.kind")).alias("kind")).distinct()
+
+
+def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts that mention somebody, the mentions replaced by typed placeholders; a record delivered twice comes once."""
+    found = pii.find_mentions(_record_parts(spark, sf_dir), PART, with_text=True)
+    return found.select(*PART, F.size("mentions").alias("n_mentions"), "redacted").distinct()
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a held-out item's text, or at least half of it."""
     return leaks.find_leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
@@ -85,6 +104,8 @@ def queries() -> dict:
     return {
         "p1_token_budget": p1_token_budget,
         "p1_token_rollup": p1_token_rollup,
+        "p3_found": p3_found,
+        "p3_redacted": p3_redacted,
         "p6_ids": p6_ids,
         "p7_found": p7_found,
         "p7_leaked_items": p7_leaked_items,
