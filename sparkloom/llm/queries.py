@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions.cleaning import clean_label, clean_language, source_origin
-from sparkloom.llm import encode, leaks, pii, shared_spans, token_budget
+from sparkloom.llm import encode, leaks, pairs, pii, shared_spans, token_budget
 from sparkloom.tables import load
 
 
@@ -88,6 +88,11 @@ def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*PART, F.size("mentions").alias("n_mentions"), "redacted").distinct()
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records whose prompt and answer make a defective pair, with the defect."""
+    return pairs.find_defects(load(spark, sf_dir, "agentcoder_slice_train"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a held-out item's text, or at least half of it."""
     return leaks.find_leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
@@ -106,6 +111,7 @@ def queries() -> dict:
         "p1_token_rollup": p1_token_rollup,
         "p3_found": p3_found,
         "p3_redacted": p3_redacted,
+        "p5_found": p5_found,
         "p6_ids": p6_ids,
         "p7_found": p7_found,
         "p7_leaked_items": p7_leaked_items,
