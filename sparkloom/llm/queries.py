@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions.cleaning import clean_label, clean_language, source_origin
-from sparkloom.llm import encode, leaks, pairs, pii, shared_spans, token_budget
+from sparkloom.llm import encode, leaks, packing, pairs, pii, shared_spans, token_budget
 from sparkloom.tables import load
 
 
@@ -69,6 +69,30 @@ def p8_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans.shared_amounts(_long_texts(spark, sf_dir), SPAN)
 
 
+PART_KEYS = ["record_id", "field_name", "part_index"]
+
+
+def _pack_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = load(spark, sf_dir, "agentcoder_slice_train")
+    trace = F.transform(
+        F.coalesce(F.col("trace.content"), F.array().cast("array<string>")),
+        lambda c, i: F.struct(F.lit("trace").alias("field_name"), i.cast("int").alias("part_index"), F.length(c).alias("n_chars")),
+    )
+    context = F.array(F.struct(F.lit("repo_context").alias("field_name"), F.lit(0).alias("part_index"), F.length("repo_context").alias("n_chars")))
+    parts = df.select("record_id", F.explode(F.concat(trace, context)).alias("p")).select("record_id", "p.*").filter("n_chars > 0")
+    return parts.groupBy(*PART_KEYS).agg(F.max("n_chars").alias("n_chars"))
+
+
+def p2_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Window of every trace text and repo_context of the distinct records, for each container."""
+    return packing.assign(_pack_items(spark, sf_dir), PART_KEYS, load(spark, sf_dir, "pack_containers"))
+
+
+def p2_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fill of each container."""
+    return packing.fill_report(p2_assignment(spark, sf_dir))
+
+
 PART = ["record_id", "field_name", "part_index"]
 
 
@@ -109,6 +133,8 @@ def queries() -> dict:
     return {
         "p1_token_budget": p1_token_budget,
         "p1_token_rollup": p1_token_rollup,
+        "p2_assignment": p2_assignment,
+        "p2_fill": p2_fill,
         "p3_found": p3_found,
         "p3_redacted": p3_redacted,
         "p5_found": p5_found,
