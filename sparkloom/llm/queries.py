@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.functions.cleaning import clean_label, clean_language, source_origin
-from sparkloom.llm import encode, leaks, packing, pairs, pii, shared_spans, token_budget
+from sparkloom.functions.cleaning import clean_label, clean_language, source_family, source_origin
+from sparkloom.llm import encode, leaks, mixing, packing, pairs, pii, shared_spans, token_budget
 from sparkloom.tables import load
 
 
@@ -112,6 +112,28 @@ def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*PART, F.size("mentions").alias("n_mentions"), "redacted").distinct()
 
 
+def _ladder_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(record_id, family, chars) of the distinct ladder records."""
+    content = lambda c: F.aggregate(F.coalesce(F.col(c), F.array().cast("array<string>")), F.lit(0), lambda a, x: a + F.coalesce(F.length(x), F.lit(0)))
+    df = load(spark, sf_dir, "agentcoder_coding_ladder_sft").select(
+        "record_id",
+        source_family(F.col("_curriculum_source")).alias("family"),
+        (content("messages.content") + content("trace.content") + F.coalesce(F.length("final"), F.lit(0))).cast("bigint").alias("chars"),
+    )
+    return df.groupBy("record_id").agg(F.min("family").alias("family"), F.max("chars").alias("chars"))
+
+
+def p4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every use of a record in every mix."""
+    uses, _ = mixing.draw(_ladder_records(spark, sf_dir), load(spark, sf_dir, "mixture_targets"))
+    return uses.withColumnRenamed("family", "source_family")
+
+
+def p4_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual shares of every mix and family."""
+    return mixing.shares(*mixing.draw(_ladder_records(spark, sf_dir), load(spark, sf_dir, "mixture_targets")))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records whose prompt and answer make a defective pair, with the defect."""
     return pairs.find_defects(load(spark, sf_dir, "agentcoder_slice_train"))
@@ -137,6 +159,8 @@ def queries() -> dict:
         "p2_fill": p2_fill,
         "p3_found": p3_found,
         "p3_redacted": p3_redacted,
+        "p4_mix": p4_mix,
+        "p4_shares": p4_shares,
         "p5_found": p5_found,
         "p6_ids": p6_ids,
         "p7_found": p7_found,
