@@ -17,10 +17,8 @@ UNKNOWN = "unknown"
 def clean_language(c: Column) -> Column:
     """Two-letter code; null and blank become 'unknown', an unheard-of name stays as it is in lower case."""
     base = F.lower(F.regexp_extract(F.trim(F.coalesce(c, F.lit(""))), r"^([^-_]*)", 1))
-    out = base
-    for name, code in LANGUAGE_NAMES.items():
-        out = F.when(base == name, F.lit(code)).otherwise(out)
-    return F.when(base == "", F.lit(UNKNOWN)).otherwise(out)
+    names = F.create_map(*[F.lit(x) for pair in {"": UNKNOWN, **LANGUAGE_NAMES}.items() for x in pair])
+    return F.coalesce(F.try_element_at(names, base), base)
 
 
 def clean_label(c: Column) -> Column:

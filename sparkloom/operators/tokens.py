@@ -16,6 +16,8 @@ FIRST_BYTE = len(SPECIALS)
 FIRST_LEARNED = FIRST_BYTE + 256
 #: White space tokens longer than this, without a newline, are never learned.
 LONGEST_BLANK = 8
+#: A vocabulary of up to this many rows (a few MB) may be sent to all executors.
+BROADCAST_ROWS = 200_000
 
 
 def lex(c: Column) -> Column:
@@ -41,7 +43,8 @@ def vocabulary(freq: DataFrame, size: int, least: int = 1) -> DataFrame:
     """
     room = max(0, size - FIRST_LEARNED)
     t = F.col("token")
-    blank = (F.trim(F.regexp_replace(t, r"[ \t\n\r\f\x0B]", "")) == "") & (F.length(t) > LONGEST_BLANK) & ~F.contains(t, F.lit("\n"))
+    # the optimizer runs this on every token, so the cheap test comes first
+    blank = (F.length(t) > LONGEST_BLANK) & ~F.contains(t, F.lit("\n")) & (F.trim(F.regexp_replace(t, r"[ \t\n\r\f\x0B]", "")) == "")
     top = freq.filter((F.col("n") >= least) & ~blank & ~t.isin(*SPECIALS)).orderBy(F.col("n").desc(), F.col("first").asc()).limit(room)
     rank = F.row_number().over(Window.orderBy(F.col("n").desc(), F.col("first").asc()))
     return top.select("token", (F.lit(FIRST_LEARNED - 1) + rank).cast("bigint").alias("id"), "n")
@@ -62,25 +65,31 @@ def byte_ids(token: Column) -> Column:
     return F.transform(steps, lambda i: F.conv(F.substring(digits, i, F.lit(2)), 16, 10).cast("bigint") + FIRST_BYTE)
 
 
-def encode(tok: DataFrame, vocab: DataFrame) -> DataFrame:
+def lookup(vocab: DataFrame, rows: int | None) -> DataFrame:
+    """(token, id), broadcast where its row bound is known and small; else the join strategy is the optimizer's."""
+    v = vocab.select("token", "id")
+    return F.broadcast(v) if rows is not None and rows <= BROADCAST_ROWS else v
+
+
+def encode(tok: DataFrame, vocab: DataFrame, vocab_rows: int | None = None) -> DataFrame:
     """tok (…, token) with ids ARRAY<BIGINT>: the vocabulary's id, or the bytes of an unknown token.
 
-    The vocabulary is bounded by its size parameter; whether its side of the
-    join is broadcast is left to the optimizer's size check.
+    vocab_rows is a bound on the vocabulary's rows, such as its size
+    parameter; up to BROADCAST_ROWS the tokens then stay where they are.
     """
-    return tok.join(vocab.select("token", "id"), "token", "left").withColumn("ids", F.when(F.col("id").isNotNull(), F.array("id")).otherwise(byte_ids(F.col("token"))))
+    return tok.join(lookup(vocab, vocab_rows), "token", "left").withColumn("ids", F.when(F.col("id").isNotNull(), F.array("id")).otherwise(byte_ids(F.col("token"))))
 
 
-def encode_documents(df: DataFrame, key: str, text: str, vocab: DataFrame) -> DataFrame:
+def encode_documents(df: DataFrame, key: str, text: str, vocab: DataFrame, vocab_rows: int | None = None) -> DataFrame:
     """(key, ids) in text order. Each distinct token of a document meets the vocabulary once."""
-    coded = encode(tokens(df, key, text), vocab)
+    coded = encode(tokens(df, key, text), vocab, vocab_rows)
     ordered = F.array_sort(F.collect_list(F.struct("pos", "ids")))
     return coded.groupBy(key).agg(F.flatten(F.transform(ordered, lambda s: s["ids"])).alias("ids"))
 
 
-def decode(ids: DataFrame, key: str, vocab: DataFrame) -> DataFrame:
+def decode(ids: DataFrame, key: str, vocab: DataFrame, vocab_rows: int | None = None) -> DataFrame:
     """(key, tokens) for (key, ids); unknown ids are left out. ``decode_tokens`` turns tokens into text."""
-    flat = ids.select(key, F.posexplode("ids").alias("pos", "id")).join(vocab, "id")
+    flat = ids.select(key, F.posexplode("ids").alias("pos", "id")).join(lookup(vocab, vocab_rows), "id")
     return flat.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda s: s["token"]).alias("tokens"))
 
 

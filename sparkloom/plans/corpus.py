@@ -10,7 +10,7 @@ from sparkloom.functions.text import first_text, order_hash, stable_hash
 from sparkloom.operators import curriculum, ranking, records, streams, tokens
 from sparkloom.plans.registry import query
 from sparkloom.plans.rules import RENDERED, RESULTS, ROLE, TOK, TOKENS, label, language
-from sparkloom.tables import load
+from sparkloom.tables import load, spread
 
 SEED = 17
 MOST_CHARS = 2000
@@ -21,6 +21,11 @@ def big(c) -> F.Column:
     return F.col(c).cast("bigint") if isinstance(c, str) else c.cast("bigint")
 
 
+def _texts(s: SparkSession, d: str) -> DataFrame:
+    """Documents for work on every token."""
+    return spread(_docs(s, d).select("doc_id", "lang", "text"))
+
+
 def _slice(s: SparkSession, d: str) -> DataFrame:
     return load(s, d, "agentcoder_slice_train")
 
@@ -145,7 +150,7 @@ def q12(s, d):
 def q13(s, d):
     """Lexer tokens per document; a null text has none."""
     lexed = tokens.lex(F.col("text"))
-    return _docs(s, d).select("doc_id", big(F.coalesce(F.size(lexed), F.lit(0))).alias("n_tokens"), big(F.coalesce(F.size(F.array_distinct(lexed)), F.lit(0))).alias("n_distinct"))
+    return _texts(s, d).select("doc_id", big(F.coalesce(F.size(lexed), F.lit(0))).alias("n_tokens"), big(F.coalesce(F.size(F.array_distinct(lexed)), F.lit(0))).alias("n_distinct"))
 
 
 _FREQ = f"SELECT token, count(*)::BIGINT AS n, min({{'d': doc_id, 'p': pos}}) AS first FROM ({TOK}) GROUP BY 1"
@@ -154,7 +159,7 @@ _FREQ = f"SELECT token, count(*)::BIGINT AS n, min({{'d': doc_id, 'p': pos}}) AS
 @query("q14", f"SELECT token, n FROM ({_FREQ}) ORDER BY n DESC, first LIMIT 50")
 def q14(s, d):
     """The fifty most frequent tokens, earlier-seen first among equals."""
-    f = tokens.frequencies(_docs(s, d), "doc_id", "text")
+    f = tokens.frequencies(_texts(s, d), "doc_id", "text")
     return f.orderBy(F.col("n").desc(), F.col("first").asc()).limit(50).select("token", "n")
 
 
@@ -164,7 +169,7 @@ _VOCAB = f"""SELECT token, ({tokens.FIRST_LEARNED - 1} + row_number() OVER (ORDE
 
 
 def vocabulary(s, d) -> DataFrame:
-    return tokens.vocabulary(tokens.frequencies(_docs(s, d), "doc_id", "text"), VOCAB)
+    return tokens.vocabulary(tokens.frequencies(_texts(s, d), "doc_id", "text"), VOCAB)
 
 
 @query("q15", _VOCAB)
@@ -183,7 +188,7 @@ _CODED = f"""SELECT t.doc_id, t.token, t.pos, v.id, CASE WHEN v.id IS NOT NULL T
 @query("q16", f"SELECT doc_id, sum(n_ids)::BIGINT AS n_ids, sum(id_sum)::BIGINT AS id_sum, count(*) FILTER (WHERE id IS NULL)::BIGINT AS unknown FROM ({_CODED}) GROUP BY 1")
 def q16(s, d):
     """Encoded length, sum of ids and unknown tokens per document, with byte fallback."""
-    coded = tokens.encode(tokens.tokens(_docs(s, d), "doc_id", "text"), tokens.with_specials(vocabulary(s, d)))
+    coded = tokens.encode(tokens.tokens(_texts(s, d), "doc_id", "text"), tokens.with_specials(vocabulary(s, d)), VOCAB)
     return coded.groupBy("doc_id").agg(
         big(F.sum(F.size("ids"))).alias("n_ids"), big(F.sum(F.aggregate("ids", F.lit(0).cast("bigint"), lambda a, x: a + x))).alias("id_sum"), F.count_if(F.col("id").isNull()).alias("unknown")
     )
@@ -194,7 +199,7 @@ SELECT part, max(len)::BIGINT AS longest, max({{'n': len, 'o': -ord}}).o * -1 AS
  (SELECT 'train' AS part, record_id AS ord, len(regexp_extract_all(rendered, '{tokens.LEXER}', 0)) AS len FROM ({RENDERED}) UNION ALL SELECT 'eval', item_id, len({TOKENS}) FROM benchmark) GROUP BY 1""")
 def q17(s, d):
     """Longest rendering in tokens of both sides and where it first occurs."""
-    a = _slice(s, d).select(F.lit("train").alias("part"), F.col("record_id").alias("ord"), F.size(tokens.lex(records.render())).alias("len"))
+    a = spread(_slice(s, d)).select(F.lit("train").alias("part"), F.col("record_id").alias("ord"), F.size(tokens.lex(records.render())).alias("len"))
     b = load(s, d, "benchmark").select(F.lit("eval").alias("part"), F.col("item_id").alias("ord"), F.size(tokens.lex(F.col("text"))).alias("len"))
     top = F.max(F.struct("len", (-F.col("ord")).alias("o")))
     return a.unionByName(b).groupBy("part").agg(top.alias("t"), F.count(F.lit(1)).alias("n")).select("part", big("t.len").alias("longest"), (-F.col("t.o")).alias("first_at"), "n")
@@ -205,15 +210,15 @@ SELECT {language('lang')} AS language, count(*)::BIGINT AS n_tokens, round(avg(C
  FROM ({TOK}) t JOIN documents USING (doc_id) LEFT JOIN ({_VOCAB}) v USING (token) GROUP BY 1""")
 def q18(s, d):
     """Share of tokens outside the learned vocabulary, by language."""
-    t = _docs(s, d).select(clean_language(F.col("lang")).alias("language"), F.explode(tokens.lex(F.col("text"))).alias("token"))
-    per = t.groupBy("language", "token").agg(F.count(F.lit(1)).alias("n")).join(vocabulary(s, d).select("token", "id"), "token", "left")
-    return per.groupBy("language").agg(F.sum("n").alias("n_tokens"), F.round(F.sum(F.when(F.col("id").isNull(), F.col("n")).otherwise(0)) / F.sum("n"), 6).alias("unknown_rate"))
+    t = _texts(s, d).select("lang", F.explode(tokens.lex(F.col("text"))).alias("token"))
+    per = t.groupBy("lang", "token").agg(F.count(F.lit(1)).alias("n")).join(tokens.lookup(vocabulary(s, d), VOCAB), "token", "left")
+    return per.groupBy(clean_language(F.col("lang")).alias("language")).agg(F.sum("n").alias("n_tokens"), F.round(F.sum(F.when(F.col("id").isNull(), F.col("n")).otherwise(0)) / F.sum("n"), 6).alias("unknown_rate"))
 
 
 @query("q19", f"SELECT count(*)::BIGINT AS n, count(*) FILTER (WHERE array_to_string({TOKENS}, '') = text)::BIGINT AS lossless FROM documents WHERE text IS NOT NULL")
 def q19(s, d):
     """Texts that their tokens spell out again."""
-    t = _docs(s, d).filter("text IS NOT NULL")
+    t = _texts(s, d).filter("text IS NOT NULL")
     return t.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.array_join(tokens.lex(F.col("text")), "") == F.col("text")).alias("lossless"))
 
 
@@ -224,7 +229,7 @@ SELECT DISTINCT record_id, coalesce(list_sum(list_transform(segs, lambda s: len(
 def q20(s, d):
     """Tokens of each record and those it is scored on."""
     own = tokens.ownership(records.segments(), records.OWNED)
-    return _slice(s, d).filter("text IS NULL").select("record_id", own.alias("o")).select("record_id", "o.total", "o.owned").distinct()
+    return spread(_slice(s, d)).filter("text IS NULL").select("record_id", own.alias("o")).select("record_id", "o.total", "o.owned").distinct()
 
 
 _SPLIT = f"SELECT doc_id, length(text) AS len, row_number() OVER (ORDER BY sha256('{SEED}|' || doc_id), doc_id) AS rn, count(*) OVER () AS n FROM documents"
@@ -242,7 +247,7 @@ _OFFSETS = f"""SELECT doc_id, coalesce(sum(n) OVER (ORDER BY h, doc_id ROWS BETW
 
 
 def _offsets(s, d) -> DataFrame:
-    t = _docs(s, d).select("doc_id", big(F.coalesce(F.size(tokens.lex(F.col("text"))), F.lit(0))).alias("n"))
+    t = _texts(s, d).select("doc_id", big(F.coalesce(F.size(tokens.lex(F.col("text"))), F.lit(0))).alias("n"))
     return streams.offsets(t, "doc_id", F.col("n"), SEED)
 
 
@@ -266,7 +271,7 @@ SELECT chunk::BIGINT AS chunk, (chunk * 4096)::BIGINT AS first, length::BIGINT A
  FROM (SELECT chunk, least(4096, n - chunk * 4096) AS length FROM (SELECT n, unnest(range(0, (n - 1) // 4096 + 1)) AS chunk FROM (SELECT sum(len({TOKENS}))::BIGINT AS n FROM documents)))""")
 def q24(s, d):
     """Chunks of the stream, shuffled and laid out anew."""
-    total = _docs(s, d).agg(big(F.sum(F.size(tokens.lex(F.col("text"))))).alias("n"))
+    total = _texts(s, d).agg(big(F.sum(F.size(tokens.lex(F.col("text"))))).alias("n"))
     c = streams.shuffle_chunks(total, 4096, SEED)
     return c.select(big("chunk").alias("chunk"), big("first").alias("first"), "length", big("start").alias("start"))
 

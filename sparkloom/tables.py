@@ -7,3 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files give fewer splits than half of them.
+
+    A few small files hold little, so moving their rows costs less than work on
+    idle cores saves; a table with enough splits is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
