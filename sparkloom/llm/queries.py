@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.cleaning import clean_label, clean_language, source_family, source_origin
 from sparkloom.llm import encode, leaks, mixing, packing, pairs, pii, shared_spans, token_budget
-from sparkloom.tables import load
+from sparkloom.tables import load, spread
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document; null and empty texts give an empty list."""
-    return encode.encode_column(load(spark, sf_dir, "documents"), "doc_id", "text")
+    return encode.encode_column(spread(load(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 def _budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def _budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
             clean_label(F.col(domain)).alias("domain"),
             texts.alias("texts"),
         )
-        part = token_budget.budget(df, "record", keys, "texts").withColumn("corpus", F.lit(table))
+        part = token_budget.budget(spread(df), "record", keys, "texts").withColumn("corpus", F.lit(table))
         out = part if out is None else out.unionByName(part)
     return out.select("corpus", *keys, "n_records", "n_texts", "n_tokens")
 
@@ -56,7 +56,7 @@ SPAN = 400
 
 
 def _long_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shared_spans.with_digest(load(spark, sf_dir, "documents"), "doc_id", "text", SPAN)
+    return shared_spans.with_digest(spread(load(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text", SPAN)
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +97,7 @@ PART = ["record_id", "field_name", "part_index"]
 
 
 def _record_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.parts(load(spark, sf_dir, "agentcoder_slice_train"), "record_id", "messages", ["repo_context"])
+    return pii.parts(spread(load(spark, sf_dir, "agentcoder_slice_train").select("record_id", "messages", "repo_context")), "record_id", "messages", ["repo_context"])
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,12 +136,12 @@ def p4_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records whose prompt and answer make a defective pair, with the defect."""
-    return pairs.find_defects(load(spark, sf_dir, "agentcoder_slice_train"))
+    return pairs.find_defects(spread(load(spark, sf_dir, "agentcoder_slice_train").select("record_id", "messages", "trace", "final")))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a held-out item's text, or at least half of it."""
-    return leaks.find_leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    return leaks.find_leaks(spread(load(spark, sf_dir, "documents").select("doc_id", "text")), load(spark, sf_dir, "benchmark"))
 
 
 def p7_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
