@@ -27,12 +27,12 @@ def decoys(specs: DataFrame, key: str, count: int, seed: int) -> DataFrame:
     """
     from pyspark.sql import Window
 
-    ring = specs.select(key, F.row_number().over(Window.orderBy(order_hash(seed, F.col(key)), key)).alias("r"))
+    ring = specs.select(F.col(key).alias("name"), F.row_number().over(Window.orderBy(order_hash(seed, F.col(key)), key)).alias("r"))
     n = ring.agg(F.count(F.lit(1)).alias("n")).withColumn("one", F.lit(1))
     ring = ring.withColumn("one", F.lit(1)).join(n, "one").drop("one")
-    asked = ring.select(F.col(key).alias("target"), F.explode(F.sequence(F.lit(1), F.least(F.lit(count), F.col("n").cast("int") - 1))).alias("j"), "r", "n").filter("n > 1")
+    asked = ring.select(F.col("name").alias("target"), F.explode(F.sequence(F.lit(1), F.least(F.lit(count), F.col("n").cast("int") - 1))).alias("j"), "r", "n").filter("n > 1")
     asked = asked.withColumn("at", F.pmod(F.col("r") - 1 + F.col("j"), F.col("n")) + 1)
-    return asked.join(ring.select(F.col(key).alias("decoy"), F.col("r").alias("at")), "at").select("target", "decoy", F.col("j").cast("bigint").alias("j"))
+    return asked.join(ring.select(F.col("name").alias("decoy"), F.col("r").alias("at")), "at").select("target", "decoy", F.col("j").cast("bigint").alias("j"))
 
 
 def overlap(train: DataFrame, held_out: DataFrame, column: str) -> DataFrame:

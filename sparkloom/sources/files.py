@@ -81,7 +81,8 @@ def eval_cases(spark: SparkSession, path: str) -> DataFrame:
     """Cases of a JSON file: a list, or an object with cases or prompts. A case without a prompt and an empty file raise."""
     text = spark.read.text(path, wholetext=True)
     item = f"array<struct<{', '.join(f.strip().replace(' ', ':', 1) for f in CASE.split(', '))}>>"
-    whole = F.coalesce(F.from_json("value", item), F.from_json("value", f"struct<cases:{item}>")["cases"], F.from_json("value", f"struct<prompts:{item}>")["prompts"])
+    # an object read as a list would be a list of one, so the first character decides
+    whole = F.coalesce(F.when(F.startswith(F.trim("value"), F.lit("[")), F.from_json("value", item)), F.from_json("value", f"struct<cases:{item}>")["cases"], F.from_json("value", f"struct<prompts:{item}>")["prompts"])
     cases = text.select(F.posexplode(F.when(F.size(whole) > 0, whole).otherwise(F.raise_error(F.lit("no cases")))).alias("ord", "c")).select("ord", "c.*")
     empty = F.array().cast("array<string>")
     return cases.withColumns({

@@ -9,6 +9,7 @@ import tempfile
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows a report may have; reports are read by people.
 MOST_REPORT_ROWS = 10_000
@@ -23,9 +24,9 @@ def write_json_lines(df: DataFrame, path: str, *, drop: tuple[str, ...] = (), as
     df.select(line.alias("value")).write.mode("overwrite").text(path)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _escape(s):
-    return s.map(lambda x: None if x is None else x.encode("ascii", "backslashreplace").decode() if x.isascii() else json.dumps(json.loads(x), ensure_ascii=True))
+    return s.map(lambda x: None if x is None else json.dumps(json.loads(x), sort_keys=True))
 
 
 def write_cases(df: DataFrame, path: str) -> None:
