@@ -183,7 +183,7 @@ def shares(uses: DataFrame, plan: list[dict]) -> DataFrame:
     out = out.withColumn("actual_chars", F.coalesce("actual_chars", F.lit(0)))
     drawn = F.sum("actual_chars").over(Window.partitionBy("mix_name"))
     return out.select(
-        "mix_name", F.col("family").alias("source_family"), "target_share", (F.col("actual_chars") / F.col("mix_chars")).alias("share_of_size"),
-        F.when(drawn > 0, F.col("actual_chars") / drawn).otherwise(0.0).alias("share_of_drawn"), "target_chars", "actual_chars", "available_chars", "short_chars",
+        "mix_name", F.col("family").alias("source_family"), "target_share", F.coalesce(F.try_divide("actual_chars", "mix_chars"), F.lit(0.0)).alias("share_of_size"),
+        F.coalesce(F.try_divide(F.col("actual_chars"), drawn), F.lit(0.0)).alias("share_of_drawn"), "target_chars", "actual_chars", "available_chars", "short_chars",
         F.coalesce("records_used", F.lit(0)).alias("records_used"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"), "max_repeats",
     )

@@ -69,9 +69,9 @@ def budget(df: DataFrame, record_column: str, slice_columns: list[str], texts_co
     under, the least in order wins. Rows with a null record id are one record.
     """
     counted = count_tokens(df.select(record_column, *slice_columns, texts_column), texts_column)
-    once = counted.groupBy(record_column).agg(F.min(F.struct(*slice_columns, "n_texts", "n_tokens")).alias("r"))
-    return once.groupBy(*[F.col(f"r.{c}").alias(c) for c in slice_columns]).agg(
+    once = counted.groupBy(record_column).agg(F.min(F.struct(*slice_columns, "n_texts", "n_tokens")).alias("__once"))
+    return once.groupBy(*[F.col(f"__once.{c}").alias(c) for c in slice_columns]).agg(
         F.count(F.lit(1)).alias("n_records"),
-        F.sum("r.n_texts").alias("n_texts"),
-        F.sum("r.n_tokens").alias("n_tokens"),
+        F.sum("__once.n_texts").alias("n_texts"),
+        F.sum("__once.n_tokens").alias("n_tokens"),
     )
