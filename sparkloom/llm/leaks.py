@@ -135,35 +135,44 @@ def banded_passages(item: list[str], doc: list[str], enough: float = float("inf"
     it keeps LEAST_WORDS. Stops early at ``enough`` words.
     """
     where: dict[str, list[int]] = {}
+    wanted = set(item)
     for j, w in enumerate(doc):
-        where.setdefault(w, []).append(j)
-    cells = [(i, j) for i, w in enumerate(item) for j in where.get(w, ())]
-    if not cells:
+        if w in wanted:
+            where.setdefault(w, []).append(j)
+    if not where:
         return 0
-    # chains of kept words on near diagonals
-    best: dict[tuple[int, int], tuple[float, int, int, int, int]] = {}  # cell -> score, first i, first j, kept, span
-    passages: dict[tuple[int, int], tuple[int, int, int, int]] = {}
-    for i, j in cells:
-        top = (1.0, i, j, 1)
-        for di, dj in STEPS:
-            prev = best.get((i - di, j - dj))
-            if prev is not None:
-                gain = prev[0] + 1 - (max(di, dj) - 1) * (STAY - 1)
-                if gain > top[0]:
-                    top = (gain, prev[1], prev[2], prev[3] + 1)
-                if di == dj == 1:
-                    break
-        best[(i, j)] = top
-        s, fi, fj, kept = top
+    # a cell (i, j) is the number i * wide + j; the margin keeps neighbours of the first and last words apart
+    wide = len(doc) + 8
+    cells = [i * wide + j for i, w in enumerate(item, 4) for j in where.get(w, ())]
+    all_cells, step = set(cells), wide + 1
+    # a word kept alone between two changes can't pay for either, so only words kept beside another count
+    cells = [c for c in cells if c - step in all_cells or c + step in all_cells]
+    if enough != float("inf") and len({c // wide for c in cells}) < enough * STAY / OF - 1:
+        return 0
+    moves = [(di * wide + dj, 1 - (max(di, dj) - 1) * (STAY - 1)) for di, dj in STEPS]
+    best: dict[int, tuple[float, int, int]] = {}  # cell -> score, first cell, words kept
+    passages: dict[int, tuple[int, float, int]] = {}  # first cell -> last cell, score, words kept
+    for c in cells:
+        score, first, kept = 1.0, c, 1
+        prev = best.get(c - step)
+        if prev is not None and prev[0] > 0:
+            score, first, kept = prev[0] + 1, prev[1], prev[2] + 1
+        else:
+            for move, gain in moves:
+                prev = best.get(c - move)
+                if prev is not None and prev[0] + gain > score:
+                    score, first, kept = prev[0] + gain, prev[1], prev[2] + 1
+        best[c] = (score, first, kept)
         if kept >= LEAST_WORDS:
-            old = passages.get((fi, fj))
-            if old is None or (s, kept) > old[2:]:
-                passages[(fi, fj)] = (i, j, s, kept)
-    longest = max((i - fi + 1 for (fi, _), (i, _, _, _) in passages.items()), default=0)
+            old = passages.get(first)
+            if old is None or (score, kept) > old[1:]:
+                passages[first] = (c, score, kept)
+    passages = {divmod(f, wide): divmod(p[0], wide) for f, p in passages.items()}
+    longest = max((i - fi + 1 for (fi, _), (i, _) in passages.items()), default=0)
     if longest >= enough:
         return longest
     # passages in the item's order and the document's order, as many words as possible
-    spans = sorted((fi, fj, i, j) for (fi, fj), (i, j, _, _) in passages.items())
+    spans = sorted((fi, fj, i, j) for (fi, fj), (i, j) in passages.items())
     total = [0] * len(spans)
     for x, (fi, fj, i, j) in enumerate(spans):
         total[x] = i - fi + 1
