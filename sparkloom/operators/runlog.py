@@ -111,7 +111,8 @@ def melt(df: DataFrame, ids: list[str], values: list[str]) -> DataFrame:
 
 def duration_seconds(start: Column, end: Column) -> Column:
     """Seconds from start to end, not below 0; null where either is missing."""
-    return F.greatest(F.lit(0.0), (F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / 1e6)
+    seconds = (F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / 1e6
+    return F.when(seconds < 0, 0.0).otherwise(seconds)
 
 
 def merge_params(old: Column, new: Column) -> Column:

@@ -205,7 +205,7 @@ def q51(s, d):
 
 
 @query("q52", """
-SELECT run_id, lower(trim(r.status)) AS status, round(coalesce(greatest(0.0, (epoch_us(r.ended_at) - epoch_us(r.started_at)) / 1e6), -1), 6)::DOUBLE AS seconds FROM
+SELECT run_id, lower(trim(r.status)) AS status, round(CASE WHEN r.ended_at IS NULL OR r.started_at IS NULL THEN -1 ELSE greatest(0.0, (epoch_us(r.ended_at) - epoch_us(r.started_at)) / 1e6) END, 6)::DOUBLE AS seconds FROM
  (SELECT run_id, max({'updated_at': updated_at, 'status': status, 'started_at': started_at, 'ended_at': ended_at}) AS r FROM run_registry WHERE run_id IS NOT NULL GROUP BY 1)""")
 def q52(s, d):
     """Latest state of each run and its duration; -1 while it has no end."""
