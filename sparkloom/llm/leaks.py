@@ -6,6 +6,7 @@ import html
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import accumulate
 from urllib.parse import unquote
 
 import numpy as np
@@ -23,13 +24,18 @@ BAND = 64
 CHUNK = 1 << 22
 #: Items compared with the corpus at a time; more items make more passes, each with a bounded table.
 ITEMS_PER_BLOCK = 20_000
+#: Items of a query set; a larger set is an error, never cut.
+MOST_ITEMS = 1_000_000
 #: Of eight words, seven must stay.
 STAY, OF = 7, 8
+#: Words that a passage with changes all along must keep; texts from one template share shorter ones.
+LONG_WORDS = 18
+#: Share of that rate a passage may have, since its ends may cut a run of eight.
+DENSITY = 0.98
 #: A passage shorter than this is a turn of phrase.
 LEAST_WORDS = 6
-#: The words of a text are counted after normalisation, which takes a name like a_b_c apart; the share asked
-#: for, in words as written, may come out this much lower.
-TOLERANCE = 0.9
+#: The ends of passages are found to within a changed word, so the share asked for may come out this much lower.
+TOLERANCE = 0.95
 #: Moves of the banded alignment within a passage: kept, one word changed, put in or left out, two of these.
 STEPS = ((1, 1), (2, 2), (1, 2), (2, 1), (3, 3), (1, 3), (3, 1), (2, 3), (3, 2))
 
@@ -85,7 +91,7 @@ class ItemIndex:
     """Q-grams of a block of items, behind a bitmap that most corpus q-grams fail."""
 
     def __init__(self, items: list[tuple[int, str]], bits: int = 21):
-        self.ids, self.words, self.starts, grams, owner, place = [], [], [], [], [], []
+        self.ids, self.words, self.weights, grams, owner, place = [], [], [], [], [], []
         for item_id, text in items:
             norm = normalise(text)
             data = np.frombuffer(norm.encode(), np.uint8)
@@ -99,6 +105,10 @@ class ItemIndex:
             grams.append(g)
             self.ids.append(item_id)
             self.words.append(norm.split())
+            # a word as written may come apart into several, which share its weight
+            pieces = [len(normalise(w).split()) for w in text.split()]
+            weights = [1 / n for n in pieces for _ in range(n)]
+            self.weights.append(weights if len(weights) == len(self.words[-1]) else [1.0] * len(self.words[-1]))
         self.size = np.array([len(g) for g in grams], np.int64)
         g = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
         order = np.argsort(g, kind="stable")
@@ -125,14 +135,36 @@ class ItemIndex:
         return np.repeat(at, n), self.owner[rows], self.place[rows]
 
 
-def banded_passages(item: list[str], doc: list[str], enough: float = float("inf")) -> int:
-    """Words of the item that stand in the document within passages, in the item's order.
+def _chains(cells: list[int], wide: int, cost: int) -> dict[int, tuple[int, int, int]]:
+    """first cell -> (last cell, words kept, words lost) of the best chain from it that keeps LEAST_WORDS."""
+    step = wide + 1
+    moves = [(di * wide + dj, max(di, dj) - 1) for di, dj in STEPS[1:]]
+    best: dict[int, tuple[int, int, int, int]] = {}  # cell -> score, first cell, kept, lost
+    out: dict[int, tuple[int, int, int, int]] = {}
+    for c in cells:
+        score, first, kept, lost = 1, c, 1, 0
+        prev = best.get(c - step)
+        if prev is not None:
+            score, first, kept, lost = prev[0] + 1, prev[1], prev[2] + 1, prev[3]
+        else:
+            for move, gone in moves:
+                prev = best.get(c - move)
+                if prev is not None and prev[0] + 1 - gone * cost > score:
+                    score, first, kept, lost = prev[0] + 1 - gone * cost, prev[1], prev[2] + 1, prev[3] + gone
+        best[c] = (score, first, kept, lost)
+        if kept >= LEAST_WORDS and (first not in out or (score, kept) > out[first][:2]):
+            out[first] = (score, kept, c, lost)
+    return {f: (c, kept, lost) for f, (_, kept, c, lost) in out.items()}
+
+
+def banded_passages(item: list[str], doc: list[str], enough: float = float("inf"), weights: list[float] | None = None) -> float:
+    """Words of the item (or their weights) that stand in the document within passages, in the item's order.
 
     Alignment over words, within the band of STEPS around a passage's diagonal;
-    farther on another passage begins. A kept word scores
-    one, a changed, left-out or inserted word costs STAY, so a passage pays only
-    while seven of eight words stay; a passage counts with the words it spans if
-    it keeps LEAST_WORDS. Stops early at ``enough`` words.
+    farther on another passage begins. A kept word scores one; a changed,
+    left-out or inserted word costs, so a passage pays only while most words
+    stay. It counts with the words it spans if it keeps LEAST_WORDS and, but
+    for its ends, seven of eight words. Stops early at ``enough`` words.
     """
     where: dict[str, list[int]] = {}
     wanted = set(item)
@@ -147,40 +179,30 @@ def banded_passages(item: list[str], doc: list[str], enough: float = float("inf"
     all_cells, step = set(cells), wide + 1
     # a word kept alone between two changes can't pay for either, so only words kept beside another count
     cells = [c for c in cells if c - step in all_cells or c + step in all_cells]
-    if enough != float("inf") and len({c // wide for c in cells}) < enough * STAY / OF - 1:
+    weights = weights or [1.0] * len(item)
+    if enough != float("inf") and sum(weights[i - 4] for i in {c // wide for c in cells}) < enough * STAY / OF - 1:
         return 0
-    moves = [(di * wide + dj, 1 - (max(di, dj) - 1) * (STAY - 1)) for di, dj in STEPS]
-    best: dict[int, tuple[float, int, int]] = {}  # cell -> score, first cell, words kept
-    passages: dict[int, tuple[int, float, int]] = {}  # first cell -> last cell, score, words kept
-    for c in cells:
-        score, first, kept = 1.0, c, 1
-        prev = best.get(c - step)
-        if prev is not None and prev[0] > 0:
-            score, first, kept = prev[0] + 1, prev[1], prev[2] + 1
-        else:
-            for move, gain in moves:
-                prev = best.get(c - move)
-                if prev is not None and prev[0] + gain > score:
-                    score, first, kept = prev[0] + gain, prev[1], prev[2] + 1
-        best[c] = (score, first, kept)
-        if kept >= LEAST_WORDS:
-            old = passages.get(first)
-            if old is None or (score, kept) > old[1:]:
-                passages[first] = (c, score, kept)
-    passages = {divmod(f, wide): divmod(p[0], wide) for f, p in passages.items()}
-    longest = max((i - fi + 1 for (fi, _), (i, _) in passages.items()), default=0)
+    upto = [0.0] * 4 + [0.0, *accumulate(weights)]  # weight before word i, in the cells' numbering
+    # dear changes keep a passage tight; cheap ones let it run on, if on the whole seven of eight words stay
+    passages: dict[tuple[int, int], tuple[int, int]] = {}
+    for cost, least in ((STAY - 1, LEAST_WORDS), ((STAY - 1) // 2, LONG_WORDS)):
+        for first, (last, kept, lost) in _chains(cells, wide, cost).items():
+            if kept >= least and kept * OF >= (kept + lost) * STAY * DENSITY:
+                key = divmod(first, wide)
+                passages[key] = max(passages.get(key, (0, 0)), divmod(last, wide))
+    longest = max((upto[i + 1] - upto[fi] for (fi, _), (i, _) in passages.items()), default=0.0)
     if longest >= enough:
         return longest
     # passages in the item's order and the document's order, as many words as possible
     spans = sorted((fi, fj, i, j) for (fi, fj), (i, j) in passages.items())
-    total = [0] * len(spans)
+    total = [0.0] * len(spans)
     for x, (fi, fj, i, j) in enumerate(spans):
-        total[x] = i - fi + 1
+        total[x] = upto[i + 1] - upto[fi]
         for y in range(x):
             _, _, pi, pj = spans[y]
             if pj < fj and spans[y][0] < fi:
-                total[x] = max(total[x], total[y] + i - max(fi - 1, pi))
-    return max(total, default=0)
+                total[x] = max(total[x], total[y] + upto[i + 1] - upto[max(fi, min(pi, i) + 1)])
+    return max(total, default=0.0)
 
 
 class Scanner:
@@ -226,8 +248,8 @@ class Scanner:
             r, i = divmod(p, n_items)
             if r not in words:
                 words[r] = norms[r].split()
-            needed = self.share * TOLERANCE * len(self.index.words[i])
-            if banded_passages(self.index.words[i], words[r], needed) >= needed:
+            needed = self.share * TOLERANCE * sum(self.index.weights[i])
+            if banded_passages(self.index.words[i], words[r], needed, self.index.weights[i]) >= needed:
                 found.add(p)
         return [divmod(p, len(self.index.ids)) for p in sorted(found)]
 
@@ -243,7 +265,9 @@ def find_leaks(
     pass over the corpus, without a shuffle of texts. Null and blank texts on
     either side match nothing; repeated rows give one result.
     """
-    rows = [(r[0], r[1]) for r in items.select(item_column, item_text).toLocalIterator() if r[1]]
+    rows = [(r[0], r[1]) for r in items.select(item_column, item_text).limit(MOST_ITEMS + 1).collect() if r[1]]
+    if len(rows) > MOST_ITEMS:
+        raise ValueError("more items than a query set may have")
     narrow = corpus.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).filter("text IS NOT NULL")
     out = None
     for start in range(0, max(1, len(rows)), ITEMS_PER_BLOCK):
