@@ -171,4 +171,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Verbatim spans can be told by joining all windows on their digest; the other operators have no SQL form."""
+    return {
+        "p8_found": f"""
+WITH w AS (SELECT DISTINCT doc_id, md5(substr(text, i::INT, {SPAN})) AS d FROM (SELECT doc_id, text, unnest(range(1, length(text) - {SPAN} + 2)) AS i FROM documents WHERE length(text) >= {SPAN}))
+SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM w a JOIN w b ON a.d = b.d AND a.doc_id < b.doc_id"""
+    }
