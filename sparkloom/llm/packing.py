@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Windows of a group, about; a group is packed by one task, so this bounds its size however many items there are.
-GROUP_WINDOWS = 96
+GROUP_WINDOWS = 192
 #: Rows of the container table that may be read to the driver.
 MOST_CONTAINERS = 1000
 
