@@ -73,6 +73,32 @@ def test_hot_groups_stay_linear(spark, monkeypatch):
     assert {(50, 50 + i) for i in range(1, 9)} <= got and len(got) < 40
 
 
+@pytest.mark.parametrize("limits", [(64, 256), (4, 3)])
+def test_boilerplate_links_all_its_texts(spark, monkeypatch, limits):
+    """One passage in many different texts gives every pair of them, and every text as many links."""
+    monkeypatch.setattr(shared_spans, "FULL_PAIRS", limits[0])
+    monkeypatch.setattr(shared_spans, "BLOCK", limits[1], raising=False)
+    r = random.Random(9)
+    n = limits[0] + 6
+    block, other = words(r, 60), words(r, 60)
+    docs = [(i, words(r, 10) + block + words(r, 10) + (other + words(r, 3) if i % 2 else "")) for i in range(n)] + [(1000 + i, words(r, 80)) for i in range(3)]
+    docs += [(2000 + i, docs[1][1]) for i in range(limits[0] + 1)]  # a large class of copies, linked to all
+    t = shared_spans.with_digest(spark.createDataFrame(docs, "doc_id bigint, text string"), "doc_id", "text", 400)
+    got = {tuple(x) for x in shared_spans.document_pairs(t, 400).collect()}
+    copies = {1, *range(2000, 2000 + limits[0] + 1)}
+    among = lambda pairs: {p for p in pairs if not copies.issuperset(p)}
+    assert among(got) == among(brute_pairs(docs, 400)) and len(among(got)) > n * n / 2
+    amounts = {x.doc_id: x for x in shared_spans.shared_amounts(t, 400).collect()}
+    assert all(amounts[i].n_links == n - 1 for i in range(n)) and set(amounts) == set(range(n)) | copies
+    holders = {}
+    for i, x in docs:
+        for w in {x[p : p + 400] for p in range(len(x) - 399)}:
+            holders.setdefault(w, set()).add(i)
+    for i, x in docs[2:n]:
+        covered = {q for p in range(len(x) - 399) if len(holders[x[p : p + 400]]) > 1 for q in range(p, p + 400)}
+        assert amounts[i].shared_chars == len(covered)
+
+
 def test_spans_of_nothing(spark):
     t = shared_spans.with_digest(spark.createDataFrame([], "doc_id bigint, text string"), "doc_id", "text", 400)
     assert shared_spans.document_pairs(t, 400).count() == 0 and shared_spans.shared_amounts(t, 400).count() == 0
