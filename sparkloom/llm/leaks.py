@@ -28,7 +28,9 @@ ITEMS_PER_BLOCK = 20_000
 MOST_ITEMS = 1_000_000
 #: Of eight words, seven must stay.
 STAY, OF = 7, 8
-#: Words that a passage with changes all along must keep; texts from one template share shorter ones.
+#: Costs of a changed word, tried in turn: dear ones keep a passage tight, cheap ones join short runs before a change.
+DEAR, COSTS = STAY - 1, ((STAY - 1) // 2, 1)
+#: Words from which on a passage may change in the places where items from one template differ.
 LONG_WORDS = 18
 #: Share of that rate a passage may have, since its ends may cut a run of eight.
 DENSITY = 0.98
@@ -90,9 +92,9 @@ def _grams(data: np.ndarray) -> np.ndarray:
 class ItemIndex:
     """Q-grams of a block of items, behind a bitmap that most corpus q-grams fail."""
 
-    def __init__(self, items: list[tuple[int, str]], bits: int = 21):
-        self.ids, self.words, self.weights, grams, owner, place = [], [], [], [], [], []
-        for item_id, text in items:
+    def __init__(self, items: list[tuple[int, str]], slots: list[frozenset[int]] | None = None, bits: int = 21):
+        self.ids, self.words, self.weights, self.slots, grams, owner, place = [], [], [], [], [], [], []
+        for n, (item_id, text) in enumerate(items):
             norm = normalise(text)
             data = np.frombuffer(norm.encode(), np.uint8)
             if not norm:
@@ -105,6 +107,7 @@ class ItemIndex:
             grams.append(g)
             self.ids.append(item_id)
             self.words.append(norm.split())
+            self.slots.append(slots[n] if slots else frozenset())
             # a word as written may come apart into several, which share its weight
             pieces = [len(normalise(w).split()) for w in text.split()]
             weights = [1 / n for n in pieces for _ in range(n)]
@@ -135,10 +138,21 @@ class ItemIndex:
         return np.repeat(at, n), self.owner[rows], self.place[rows]
 
 
-def _chains(cells: list[int], wide: int, cost: int) -> dict[int, tuple[int, int, int]]:
-    """first cell -> (last cell, words kept, words lost) of the best chain from it that keeps LEAST_WORDS."""
+def template_slots(items: list[list[str]]) -> list[frozenset[int]]:
+    """Per item the places whose two neighbours on either side stand around another word in some item."""
+    around = lambda ws, p: (ws[p - 2], ws[p - 1], ws[p + 1], ws[p + 2])
+    middle: dict[tuple, str | None] = {}  # None: several words
+    for ws in items:
+        for p in range(2, len(ws) - 2):
+            if middle.setdefault(around(ws, p), ws[p]) != ws[p]:
+                middle[around(ws, p)] = None
+    return [frozenset(p for p in range(2, len(ws) - 2) if middle[around(ws, p)] is None) for ws in items]
+
+
+def _chains(cells: list[int], wide: int, cost: int, least: int, slots: frozenset[int] = frozenset()) -> dict[int, tuple[int, int, int]]:
+    """first cell -> (last cell, words kept, words lost) of the best chain from it that keeps ``least`` words and seven of eight. Changes in slots are dear."""
     step = wide + 1
-    moves = [(di * wide + dj, max(di, dj) - 1) for di, dj in STEPS[1:]]
+    moves = [(di * wide + dj, max(di, dj) - 1, di) for di, dj in STEPS[1:]]
     best: dict[int, tuple[int, int, int, int]] = {}  # cell -> score, first cell, kept, lost
     out: dict[int, tuple[int, int, int, int]] = {}
     for c in cells:
@@ -147,24 +161,29 @@ def _chains(cells: list[int], wide: int, cost: int) -> dict[int, tuple[int, int,
         if prev is not None:
             score, first, kept, lost = prev[0] + 1, prev[1], prev[2] + 1, prev[3]
         else:
-            for move, gone in moves:
+            for move, gone, di in moves:
                 prev = best.get(c - move)
-                if prev is not None and prev[0] + 1 - gone * cost > score:
-                    score, first, kept, lost = prev[0] + 1 - gone * cost, prev[1], prev[2] + 1, prev[3] + gone
+                if prev is not None:
+                    i = c // wide - 4
+                    price = gone * (DEAR if slots and any(x in slots for x in range(i - di + 1, i)) else cost)
+                    if prev[0] + 1 - price > score:
+                        score, first, kept, lost = prev[0] + 1 - price, prev[1], prev[2] + 1, prev[3] + gone
         best[c] = (score, first, kept, lost)
-        if kept >= LEAST_WORDS and (first not in out or (score, kept) > out[first][:2]):
+        if kept >= least and kept * OF >= (kept + lost) * STAY * DENSITY and (first not in out or (score, kept) > out[first][:2]):
             out[first] = (score, kept, c, lost)
     return {f: (c, kept, lost) for f, (_, kept, c, lost) in out.items()}
 
 
-def banded_passages(item: list[str], doc: list[str], enough: float = float("inf"), weights: list[float] | None = None) -> float:
+def banded_passages(item: list[str], doc: list[str], enough: float = float("inf"), weights: list[float] | None = None, slots: frozenset[int] = frozenset()) -> float:
     """Words of the item (or their weights) that stand in the document within passages, in the item's order.
 
     Alignment over words, within the band of STEPS around a passage's diagonal;
     farther on another passage begins. A kept word scores one; a changed,
     left-out or inserted word costs, so a passage pays only while most words
     stay. It counts with the words it spans if it keeps LEAST_WORDS and, but
-    for its ends, seven of eight words. Stops early at ``enough`` words.
+    for its ends, seven of eight words. In the ``slots``, where other items have
+    other words, a change is no sign of an edit but of a text from the same
+    template, so there only long passages may change. Stops early at ``enough`` words.
     """
     where: dict[str, list[int]] = {}
     wanted = set(item)
@@ -183,17 +202,25 @@ def banded_passages(item: list[str], doc: list[str], enough: float = float("inf"
     if enough != float("inf") and sum(weights[i - 4] for i in {c // wide for c in cells}) < enough * STAY / OF - 1:
         return 0
     upto = [0.0] * 4 + [0.0, *accumulate(weights)]  # weight before word i, in the cells' numbering
-    # dear changes keep a passage tight; cheap ones let it run on, if on the whole seven of eight words stay
     passages: dict[tuple[int, int], tuple[int, int]] = {}
-    for cost, least in ((STAY - 1, LEAST_WORDS), ((STAY - 1) // 2, LONG_WORDS)):
-        for first, (last, kept, lost) in _chains(cells, wide, cost).items():
-            if kept >= least and kept * OF >= (kept + lost) * STAY * DENSITY:
-                key = divmod(first, wide)
-                passages[key] = max(passages.get(key, (0, 0)), divmod(last, wide))
+    total = 0.0
+    for cost, least, dear in ((DEAR, LEAST_WORDS, frozenset()), (COSTS[0], LONG_WORDS, frozenset()), *((c, LEAST_WORDS, slots) for c in COSTS)):
+        before = len(passages), sum(i for i, _ in passages.values())
+        for first, (last, _, _) in _chains(cells, wide, cost, least, dear).items():
+            key = divmod(first, wide)
+            passages[key] = max(passages.get(key, (0, 0)), divmod(last, wide))
+        if before != (len(passages), sum(i for i, _ in passages.values())):
+            total = _most_words(passages, upto, enough)
+        if total >= enough:
+            break
+    return total
+
+
+def _most_words(passages: dict[tuple[int, int], tuple[int, int]], upto: list[float], enough: float) -> float:
+    """Weight of passages in the item's order and the document's order, as many words as possible."""
     longest = max((upto[i + 1] - upto[fi] for (fi, _), (i, _) in passages.items()), default=0.0)
     if longest >= enough:
         return longest
-    # passages in the item's order and the document's order, as many words as possible
     spans = sorted((fi, fj, i, j) for (fi, fj), (i, j) in passages.items())
     total = [0.0] * len(spans)
     for x, (fi, fj, i, j) in enumerate(spans):
@@ -249,7 +276,7 @@ class Scanner:
             if r not in words:
                 words[r] = norms[r].split()
             needed = self.share * TOLERANCE * sum(self.index.weights[i])
-            if banded_passages(self.index.words[i], words[r], needed, self.index.weights[i]) >= needed:
+            if banded_passages(self.index.words[i], words[r], needed, self.index.weights[i], self.index.slots[i]) >= needed:
                 found.add(p)
         return [divmod(p, len(self.index.ids)) for p in sorted(found)]
 
@@ -269,12 +296,13 @@ def find_leaks(
     if len(rows) > MOST_ITEMS:
         raise ValueError("more items than a query set may have")
     narrow = corpus.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).filter("text IS NOT NULL")
+    slots = template_slots([normalise(text).split() for _, text in rows])  # over all items, whatever the blocks
     out = None
     for start in range(0, max(1, len(rows)), ITEMS_PER_BLOCK):
-        block = rows[start : start + ITEMS_PER_BLOCK]
+        block, block_slots = rows[start : start + ITEMS_PER_BLOCK], slots[start : start + ITEMS_PER_BLOCK]
 
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(block)
+        def run(batches: Iterator[pa.RecordBatch], block=block, block_slots=block_slots) -> Iterator[pa.RecordBatch]:
+            index = ItemIndex(block, block_slots)
             scanner = Scanner(index, share)
             for batch in batches:
                 ids = batch.column(0).to_pylist()

@@ -132,6 +132,40 @@ def test_leak_cases(spark, text, hit):
     assert got == ([(1, 7)] if hit else [])
 
 
+NUMBERED = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}{'xyz'[i % 3] * 3}" for i in range(40)]
+
+
+def changed(first, last, *at):
+    """Words first to last of the long item, those at the places (from 1 in the passage) changed."""
+    return " ".join("other" if i - first + 1 in at else NUMBERED[i] for i in range(first, last))
+
+
+@pytest.mark.parametrize(
+    ("size", "text", "hit"),
+    [
+        (34, changed(3, 22, 6, 13), True),  # 17 of 19 words, half of the item
+        (40, changed(0, 11, 5) + " and then something else altogether " + changed(20, 31, 5), True),
+        (30, changed(0, 15, 4), True),  # three words before the change
+        (34, changed(3, 22, 4, 8, 12, 16), False),  # 15 of 19 words
+        (40, changed(0, 11, 5) + " and then something else altogether ", False),
+    ],
+)
+def test_changes_near_the_front(size, text, hit):
+    index = leaks.ItemIndex([(1, " ".join(NUMBERED[:size]))])
+    assert leaks.Scanner(index, 0.5).scan([leaks.normalise("intro words " + text + " closing words")]) == ([(0, 0)] if hit else [])
+
+
+def test_changes_in_the_slots_of_a_template():
+    make = "copy the value stored under {} exactly ignore the decoy under {} and append the suffix {} to the narrow keys".format
+    items = [make("config", "packer", "twenty"), make("mask", "loader", "ninety")]
+    slots = leaks.template_slots([i.split() for i in items])
+    assert slots == [frozenset({5, 11, 16})] * 2
+    index = leaks.ItemIndex(list(enumerate(items)), slots)
+    scan = lambda text: leaks.Scanner(index, 0.5).scan([text])
+    assert scan(make("gate", "stream", "seven")) == []  # a sibling
+    assert (0, 0) in scan(items[0].replace("stored", "put").replace("ignore", "skip"))  # an edit
+
+
 def test_leaks_in_blocks_and_long_texts(spark, monkeypatch):
     monkeypatch.setattr(leaks, "ITEMS_PER_BLOCK", 1)
     monkeypatch.setattr(leaks, "CHUNK", 64)
