@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -124,6 +124,23 @@ def prompt_languages(prompt: str) -> set[str]:
     return {x for x in (whole, first) if x}
 
 
+def words_left_over(a: list[str], p: list[str], most: int) -> int | None:
+    """Least number of words of a without which it stands in p in order, None above ``most``; time is linear in the words."""
+    places: dict[str, list[int]] = {}
+    for j, w in enumerate(p):
+        places.setdefault(w, []).append(j)
+    # ends[d]: the shortest beginning of p that holds the words of a so far, but for d of them
+    never = len(p) + 1
+    ends = [0] + [never] * most
+    for w in a:
+        at = places.get(w, [])
+        for d in range(most, -1, -1):
+            k = bisect_left(at, ends[d])
+            end = at[k] + 1 if k < len(at) else never
+            ends[d] = min(end, ends[d - 1]) if d else end
+    return next((d for d, end in enumerate(ends) if end < never), None)
+
+
 def copies(prompt: str, answer: str) -> bool:
     """Whether the answer is the prompt, or a stretch of it, up to form and a few words around it."""
     a, p = (re.findall(r"\w+", t.lower()) for t in (answer, prompt))
@@ -132,10 +149,8 @@ def copies(prompt: str, answer: str) -> bool:
     inside = set(p)
     if sum(w in inside for w in a) < 0.75 * len(a):
         return False
-    if len(a) > 2000:
-        return a[: len(p)] == p[: len(a)]
-    kept = sum(m.size for m in SequenceMatcher(None, p, a, autojunk=False).get_matching_blocks())
-    return len(a) - kept <= max(1, min(6, 0.2 * len(a))) and kept >= 0.4 * len(p)
+    extra = words_left_over(a, p, int(max(1, min(6, 0.2 * len(a)))))
+    return extra is not None and len(a) - extra >= 0.4 * len(p)
 
 
 def unbalanced(text: str) -> bool:

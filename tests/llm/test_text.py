@@ -260,6 +260,17 @@ def test_defects(spark):
     assert pairs.find_defects(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [40, 1900, 2100, 9000])
+def test_copies_at_any_length(size):
+    r = random.Random(size)
+    p = words(r, size).split()
+    one = " ".join([*p[:3], "changed", *p[4:]])
+    assert pairs.copies(" ".join(p), one) and pairs.copies(" ".join(p), "You asked: " + " ".join(p))
+    assert pairs.copies(" ".join(p), " ".join(p[: size // 2] + p[size // 2 + 3 :]))
+    assert not pairs.copies(" ".join(p), " ".join([*p, *words(r, 9).split()]))
+    assert not pairs.copies(" ".join(p), " ".join(reversed(p)))
+
+
 def test_neighbours_equal_brute_force(spark):
     r = random.Random(8)
     known = {"".join(r.choice("ab") for _ in range(r.randint(1, 9))) for _ in range(200)}
