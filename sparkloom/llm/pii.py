@@ -34,7 +34,7 @@ def find_mentions(rows: DataFrame, keys: list[str], text_column: str = "text", w
     trees fitted on the driver beforehand. Null and empty texts mention
     nobody. ``first`` and ``last`` count code points, last is exclusive.
     """
-    models = personal.trained_models()
+    models, lex = personal.trained_models(), personal.lexicon()
     kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,7 +44,7 @@ def find_mentions(rows: DataFrame, keys: list[str], text_column: str = "text", w
         for batch in batches:
             for first, texts in text_blocks(batch.column(len(keys)), rows=4000, chars=BLOCK_CHARS):
                 texts = [t or "" for t in texts]
-                found = personal.select(texts, models)
+                found = personal.select(texts, models, lex)
                 at = [i for i, spans in enumerate(found) if spans]
                 mentions = [[{"kind": k, "first": s, "last": e} for k, s, e in found[i]] for i in at]
                 taken = [batch.column(c).slice(first, len(texts)).take(pa.array(at, pa.int64())) for c in range(len(keys))]

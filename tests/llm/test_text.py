@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from sparkloom.llm import chaining, kmers, leaks, pairs, personal, personal_training, pii, shared_spans
+from sparkloom.llm import chaining, kmers, leaks, pairs, shared_spans
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
 
@@ -176,57 +176,6 @@ def test_leaks_in_blocks_and_long_texts(spark, monkeypatch):
     assert leaks.find_leaks(corpus, items.limit(0)).count() == 0
 
 
-# personal mentions
-
-
-def kinds(text):
-    return [(k, text[s:e]) for k, s, e in personal.select([text], personal.trained_models())[0]]
-
-
-@pytest.mark.parametrize(
-    ("text", "want"),
-    [
-        ("mail jana.brixer@mail.example today", [("email", "jana.brixer@mail.example")]),
-        ("write to otto12 [at] lab [dot] fenwil [dot] example", [("email", "otto12 [at] lab [dot] fenwil [dot] example")]),
-        ("call +44 20 7946 0199, thanks", [("phone", "+44 20 7946 0199")]),
-        ("passport no. ZZ9047031 was in the log", [("id_number", "ZZ9047031")]),
-        ("author: Elena Morvassen <x>", [("name", "Elena Morvassen")]),
-        ("Send the box to 145 Tolbeck Street, Brackwell please", [("address", "145 Tolbeck Street")]),
-        ("git clone git@forge.example:tools/packer.git", []),
-        ("pip install shardkit@2.4.1853 fails here.", []),
-        ("The box 10.4.26.18:8080 answers slowly.", []),
-        ("Job 2026-07-26 11:42:07 took 415 555 ms in total.", []),
-        ("Golden Harbor is the code name of the next release.", []),
-        ("@dataclass(frozen=True) is missing on the class.", []),
-        ("", []),
-    ],
-)
-def test_mentions(text, want):
-    assert kinds(text) == want
-
-
-def test_held_out_accuracy():
-    """Fresh labelled texts, by kind: F1 of at least 0.97."""
-    models = personal.trained_models()
-    texts = list(personal_training.labelled_texts(600, seed=7))
-    got = personal.select([t for t, _ in texts], models)
-    for kind in personal.KINDS:
-        tp = fp = fn = 0
-        for (_, truth), found in zip(texts, got):
-            a, b = any(x[0] == kind for x in truth), any(x[0] == kind for x in found)
-            tp, fp, fn = tp + (a and b), fp + (b and not a), fn + (a and not b)
-        assert 2 * tp / (2 * tp + fp + fn) >= 0.97, kind
-
-
-def test_redaction_leaves_the_rest(spark):
-    rows = [(1, [("user", "mail jana.brixer@mail.example."), ("user", None), ("assistant", "")], "ring +44 20 7946 0199"), (2, None, None)]
-    df = spark.createDataFrame(rows, "record_id bigint, messages array<struct<role:string,content:string>>, repo_context string")
-    p = pii.parts(df, "record_id", "messages", ["repo_context"])
-    got = sorted(tuple(r)[:3] + (r.redacted,) for r in pii.find_mentions(p, ["record_id", "field_name", "part_index"], with_text=True).collect())
-    assert got == [(1, "messages", 0, "mail [EMAIL]."), (1, "repo_context", 0, "ring [PHONE]")]
-    assert pii.find_mentions(p.limit(0), ["record_id", "field_name", "part_index"]).count() == 0
-
-
 # prompt and answer pairs
 
 
