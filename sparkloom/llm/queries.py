@@ -69,6 +69,11 @@ def p8_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans.shared_amounts(_long_texts(spark, sf_dir), SPAN)
 
 
+def p8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages that two documents share up to edits, by chains of seeds aligned in their gaps."""
+    return shared_spans.passages(_long_texts(spark, sf_dir), SPAN)
+
+
 PART_KEYS = ["record_id", "field_name", "part_index"]
 
 
@@ -167,6 +172,7 @@ def queries() -> dict:
         "p7_leaked_items": p7_leaked_items,
         "p8_found": p8_found,
         "p8_shared": p8_shared,
+        "p8_passages": p8_passages,
     }
 
 
