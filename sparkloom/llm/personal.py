@@ -210,8 +210,8 @@ def name_features(text: str, s: int, e: int, lex: Lexicon) -> list[float]:
     return [
         f_low, f_cap, t_low, t_cap, float(first in GIVEN), float(tail in GIVEN), float(first in PLAIN), float(tail in PLAIN), float(first in THINGS), float(tail in THINGS or tail in STREET_WORDS), float(len(first) == 1), float(title), float(comma), len(rest), len(first), len(tail),
         float(span.isupper()), float(span.islower()), float(bool(_CAMEL.search(family)) and not _SCOTS.match(family) or bool(_CAMEL.search(given)) and not _SCOTS.match(given)), float("-" in span), float(any(len(w.rstrip(".")) == 1 for w in rest[1:])), float(any(w[0].islower() for w in rest)),
-        float(before in PERSON_LEFT), float(before in PLACE_LEFT), float(before in ("the", "a", "an", "der", "die", "das", "le", "la", "el", "los", "les", "ein", "eine", "un", "une", "una", "this", "our", "each")), gap, float(mark in ".!?" or mark == ""), float(mark in ":<|\"'([,;=/*#-" and mark != ""), float(mark == ","),
-        float(not line.strip(" \t-*#>–—")), float(after.lower() in PERSON_RIGHT), float(after[:1].isupper()), float(after[:1].islower()), float(right[:1] in "(.=[:_" and right[1:2].strip() != ""), float(right[:1] in "<;|,\"')" or right[:2] == " <"), float(not right.strip() or right[:1] == "\n"), float(right[:1] in ".!?"),
+        float(before in PERSON_LEFT), float(before in PLACE_LEFT), float(before in ("the", "a", "an", "der", "die", "das", "le", "la", "el", "los", "les", "ein", "eine", "un", "une", "una", "this", "our", "each")), gap, float(mark in ".!?" or mark == ""), float(mark in ":<|\"'([,;=/*#-\t" and mark != ""), float(mark == ","),
+        float(not line.strip(" \t-*#>–—")), float(after.lower() in PERSON_RIGHT), float(after[:1].isupper()), float(after[:1].islower()), float(right[:1] in "(.=[:_" and right[1:2].strip() != ""), float(right[:1] in "<;|,\"')\t" or right[:2] in (" <", " |", " ;")), float(not right.strip() or right[:1] == "\n"), float(right[:1] in ".!?"),
         float("@" in near), float(sum(c.isdigit() for c in near) >= 7), float(tail.endswith(("error", "exception", "warning", "type", "handler"))), float(tail in COMMON or first in COMMON), float(bool(m) and gap <= 2 and left[m.start(1) : m.start(1) + 1].isupper()), float(any(lex(w.lower())[0] > 0.4 for w in rest[1:-1])),
         float(left[-2:-1].isdigit()), float(bool(_DIGIT_AHEAD.match(right))), float(bool(_SUFFIX.search(tail) and len(tail) > 6)), max(f_low, t_low), max(f_cap, t_cap), float(not (f_low or f_cap)) + float(not (t_low or t_cap)),
     ]

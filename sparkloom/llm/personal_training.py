@@ -67,7 +67,7 @@ def _everyday() -> list[str]:
 
 @lru_cache(maxsize=1)
 def _proper() -> list[str]:
-    return lexicon().proper()
+    return [w for w in lexicon().proper() if max(w) < "\u0180"]
 
 
 class Maker:
