@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.llm.refusals import is_refusal
 from sparkloom.session import cut_lineage
 
 #: Answers that stand for nothing, in lower case and without outer punctuation.
@@ -24,42 +25,35 @@ FUNCTION_WORDS = {
     "en": "the of and to in is that it for with as was this are be on not by which from or an have has will would so when there nothing else only what should how why does can you please i my we your after before",
     "de": "der die das und ist so sind fehlt welcher welches halte nicht ein eine den dem des mit auf für von zu im wird werden sind dass sich auch nur noch wenn dann was wie warum bitte ich wir muss muß kann nach vor aber oder sobald damit denn welche einmal jetzt",
     "fr": "le la les des et est une un du dans que quel quelle quels quelles te tu s'il c'est j'ai n'est qu'il d'un d'une l'on pas pour sur avec ce cette il elle ne qui au aux sont par plus quand pourquoi comment je nous vous doit être avant après mais ou afin car désormais rien autre fois",
+    "it": "il lo gli di che è per uno non sono della dei delle nel nella alla anche più ma quando perché come questo questa ogni dopo già viene sulla dal",
+    "pt": "o os um uma do da dos das em nas é com não mais foi são ao aos também já quando porque depois só deve você isso pelo pela",
+    "nl": "het een van niet op zijn voor met er aan om ook als bij nog dan wordt worden naar maar deze dit hoe wat waarom wanneer eerst alleen moet",
+    "pl": "w na z że się nie jest jak dla przez ale oraz jego jej gdy kiedy dlaczego tylko przed każdy być może są",
     "es": "el la los las y es una un del en que no por con para se su lo como más cuando qué cómo quiere tras sin cual cuál nosotros usted debe antes después pero o porque esta este ya queda nada falla hace falta una sola vez",
 }
 #: Letters that tell a language, and short forms French puts before an apostrophe.
 _LETTERS = {"de": "äöüß", "fr": "èêçàùœûîô", "es": "ñáíóú¿¡"}
+#: Last code points of the blocks of writing systems, and their names.
+_SCRIPT_ENDS = [0x36F, 0x3FF, 0x52F, 0x58F, 0x5FF, 0x7FF, 0x8FF, 0x97F, 0xDFF, 0xE7F, 0x10FF, 0x11FF, 0x303F, 0x30FF, 0x318F, 0x9FFF, 0xABFF, 0xD7FF, 0x10FFFF]
+_SCRIPTS = ["", "greek", "cyrillic", "armenian", "hebrew", "arabic", "arabic", "devanagari", "indic", "thai", "georgian", "hangul", "", "cjk", "hangul", "cjk", "", "hangul", ""]
 _LETTER_OF = {c: lang for lang, cs in _LETTERS.items() for c in cs}
 _ELIDED = re.compile(r"\b(?:l|d|n|s|j|c|qu|m|t)['’]", re.I)
 _WORDS_OF = {w: [] for ws in FUNCTION_WORDS.values() for w in ws.split()}
 for _lang, _ws in FUNCTION_WORDS.items():
     for _w in set(_ws.split()):
         _WORDS_OF[_w].append(_lang)
-_REFUSALS = re.compile(
-    r"(?:can(?:no|['’])t|unable to|not able to|won['’]t be able to|will not be able to) (?:help|assist|comply|provide|answer|fulfil|support|do that|discuss|share)"
-    r"|must (?:decline|refuse)|have to (?:decline|refuse)|['’]d rather not|would rather not|(?:don['’]t|do not) feel comfortable|against my (?:guidelines|policy|rules)"
-    r"|outside (?:of )?what i['’]?(?:m| am) allowed|policy (?:keeps|prevents|does not allow|forbids)|nothing i may say|(?:not|n['’]t) (?:permitted|allowed) to (?:answer|help|share|do)"
-    r"|off the table|not something i(?:['’]m| am)? (?:can|take|do|able|willing|will|could)|(?:have to|must|will|['’]ll) (?:pass on|sit this)|find someone else|stepping aside|leave (?:this )?untouched|no way to help|(?:refuse|decline) to|not going to (?:help|do|answer|write)|(?:can|could)(?:not|n['’]t) (?:be of help|take this on|go along)|not (?:in a position|willing) to|(?:nothing|not anything) i can (?:do|say)"
-    r"|nicht (?:äußern|weiterhelfen|zuständig|gestattet|befugt)|außerhalb dessen|lehne ich ab|hors de ce que je|(?:refuse|décline) de|ne suis pas (?:autorisé|habilité)|pas autorisé|fuera de lo que (?:puedo|me)|no es algo que|no voy a (?:ayudar|responder|hacer)|me niego"
-    r"|darf ich (?:\w+ )?nicht|kann ich (?:\w+ )*nicht (?:helfen|beantworten)|(?:muss|möchte) ich (?:\w+ )?ablehnen|verstößt gegen"
-    r"|ne peux pas (?:vous |t['’]|te )?(?:aider|répondre)|dois (?:refuser|décliner)|sort de ce que|n['’]ai pas le droit|pas en mesure de"
-    r"|no puedo (?:ayudar|responder)|(?:debo|tengo que) (?:rechazar|declinar)|no (?:me )?está permitido|no estoy autorizad",
-    re.I,
-)
-#: Ways to take leave of somebody without having helped.
-_LEAVE = re.compile(
-    r"hope you(?:['’]ll)? understand|thank you for (?:your )?understanding|your team for|general information|let me know if there is anything else|bitte um verständnis|danke für (?:ihr|dein) verständnis|merci de votre compréhension|gracias por (?:tu|su) comprensión",
-    re.I,
-)
-_ASKED = re.compile(
-    r"(?:\b(?:answer|reply|respond|write|translate)\w*\b[^.!?\n]{0,30}\b(?:in|into|to)|\bantwort\w*\b[^.!?\n]{0,30}\b(?:auf|in)|\bauf|\b(?:répon\w+|écri\w+|tradui\w+)\b[^.!?\n]{0,30}\ben"
-    r"|\b(?:respond\w+|contest\w+|escrib\w+|traduc\w+)\b[^.!?\n]{0,30}\b(?:en|al))\s+(english|german|french|spanish|englisch|deutsch|französisch|spanisch|anglais|allemand|français|espagnol|inglés|alemán|francés|español)\b",
-    re.I,
-)
 #: What languages are called in one another.
 _LANGUAGE = {
     "english": "en", "englisch": "en", "anglais": "en", "inglés": "en", "german": "de", "deutsch": "de", "allemand": "de", "alemán": "de",
     "french": "fr", "französisch": "fr", "français": "fr", "francés": "fr", "spanish": "es", "spanisch": "es", "espagnol": "es", "español": "es",
+    "italian": "it", "italienisch": "it", "italien": "it", "italiano": "it", "portuguese": "pt", "portugiesisch": "pt", "portugais": "pt", "portugués": "pt", "dutch": "nl", "niederländisch": "nl", "néerlandais": "nl", "holandés": "nl", "polish": "pl", "polnisch": "pl", "polonais": "pl", "polaco": "pl",
+    "russian": "cyrillic", "russisch": "cyrillic", "russe": "cyrillic", "ruso": "cyrillic", "chinese": "cjk", "chinesisch": "cjk", "chinois": "cjk", "chino": "cjk", "japanese": "cjk", "japanisch": "cjk", "japonais": "cjk", "japonés": "cjk", "arabic": "arabic", "arabisch": "arabic", "arabe": "arabic", "árabe": "arabic",
 }
+_ASKED = re.compile(
+    r"(?:\b(?:answer|reply|respond|write|translate)\w*\b[^.!?\n]{0,30}\b(?:in|into|to)|\bantwort\w*\b[^.!?\n]{0,30}\b(?:auf|in)|\bauf|\b(?:répon\w+|écri\w+|tradui\w+)\b[^.!?\n]{0,30}\ben"
+    rf"|\b(?:respond\w+|contest\w+|escrib\w+|traduc\w+)\b[^.!?\n]{{0,30}}\b(?:en|al))\s+({'|'.join(_LANGUAGE)})\b",
+    re.I,
+)
 _FENCE = re.compile(r"```.*?(?:```|\Z)", re.S)
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _MASK = re.compile(r"\S*[_/\d]\S*")
@@ -95,8 +89,20 @@ def prose(text: str) -> str:
     return _MASK.sub(" ", "\n".join(lines))
 
 
+def script(text: str) -> str | None:
+    """Writing system of most letters if it is not the Latin one."""
+    if text.isascii():
+        return None
+    names = Counter(_SCRIPTS[bisect_left(_SCRIPT_ENDS, ord(c))] for c in text if c.isalpha())
+    top = names.most_common(1)
+    return top[0][0] if top and top[0][0] and top[0][1] * 2 > sum(names.values()) else None
+
+
 def language(text: str) -> str | None:
-    """Language of most function words; None where too few tell or two are close."""
+    """Language of most function words, or the script if it is no Latin one; None where too few tell or two are close."""
+    other = script(text)
+    if other:
+        return other
     votes: Counter[str] = Counter()
     for w in _WORD.findall(text.lower()):
         langs = _WORDS_OF.get(w)
@@ -107,6 +113,7 @@ def language(text: str) -> str | None:
             for lang in {_LETTER_OF[c] for c in w if c in _LETTER_OF}:
                 votes[lang] += 1
     votes["fr"] += len(_ELIDED.findall(text))
+    votes["es"] += text.count("¿") + text.count("¡")
     top = votes.most_common(2)
     if not top or top[0][1] < 2 or (len(top) > 1 and top[0][1] < 1.5 * top[1][1]):
         return None
@@ -214,10 +221,9 @@ def analyse(messages, trace, final) -> tuple[str, str | None, list[str]] | None:
     answer = "\n".join(parts)
     if copies(prompt, answer):
         return "copies_question", None, parts
+    if is_refusal(answer, prompt):
+        return "refusal", None, parts
     spoken = prose(answer)
-    if "```" not in answer and "\n@@ " not in answer and len(spoken) < 600:
-        if _REFUSALS.search(spoken) or (_LEAVE.search(spoken) and len(_SENTENCE.split(spoken.strip())) <= 4):
-            return "refusal", None, parts
     cut, tail = ending(parts)
     if cut:
         return "truncated", None, parts
@@ -264,10 +270,10 @@ def _evidence(df: DataFrame, id_column: str) -> DataFrame:
             rows += [("s", None, k, None, None, c, None) for k, c in sentences.items()]
             rows += [("w", None, k, None, None, c, ends[k]) for k, c in words.items()]
             columns = list(zip(*rows)) if rows else [[]] * 7
-            types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+            types = [pa.string(), batch.schema.field(0).type, pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
-    return df.mapInArrow(run, "sort string, id bigint, key string, word string, defect string, total bigint, final bigint")
+    return df.mapInArrow(run, f"sort string, id {df.schema[id_column].dataType.simpleString()}, key string, word string, defect string, total bigint, final bigint")
 
 
 def shortened(known: DataFrame, asked: DataFrame) -> DataFrame:
@@ -306,10 +312,37 @@ def shortened(known: DataFrame, asked: DataFrame) -> DataFrame:
     return inner.unionByName(edges.filter("key IS NOT NULL AND startswith(next, key)").select("key"))
 
 
+def responses(df: DataFrame, id_column: str, messages: str, trace: str, final: str) -> DataFrame:
+    """(id, response): what follows the last user message, names and numbers masked, in lower case; JVM-side."""
+    m, t = F.col(messages), F.col(trace)
+    last = F.array_max(F.transform(m, lambda x, i: F.when(x["role"] == "user", i + 1).otherwise(0)))
+    said = F.filter(F.slice(m, last + 1, F.size(m)), lambda x: x["role"] == "assistant")
+    steps = F.filter(F.coalesce(t, F.array().cast(df.schema[trace].dataType)), lambda x: x["type"].isin("assistant", "patch"))
+    text = F.concat_ws("\n", F.transform(said, lambda x: x["content"]), F.transform(steps, lambda x: x["content"]), F.col(final))
+    key = F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"\S*[_/\d]\S*", " # "), r"[\s:,;()\"'`]+", " "))
+    return df.filter((F.size(m) > 0) & (last > 0)).select(F.col(id_column).alias("id"), key.alias("response")).filter("response <> ''")
+
+
+def cut_responses(all_responses: DataFrame, open_ids: DataFrame) -> DataFrame:
+    """(id) of responses of open_ids that are a proper beginning of another response.
+
+    The responses are sorted by text and compared with their neighbours. Only
+    responses that begin like an open one, up to OPENING characters, need to be
+    sorted; the rest cannot be a neighbour that begins with one.
+    """
+    start = F.xxhash64(F.substring("response", 1, OPENING))
+    mine = all_responses.join(open_ids, "id", "left_semi").filter(F.length("response") >= OPENING)
+    near = all_responses.withColumn("start", start).join(mine.select(start.alias("start")).distinct(), "start", "left_semi")
+    keys = shortened(near.join(open_ids, "id", "left_anti").select(F.col("response").alias("key")), mine.select(F.col("response").alias("key")))
+    return mine.join(keys.withColumnRenamed("key", "response"), "response").select("id").distinct()
+
+
 #: An open answer's length counts as a limit where it is met this often and this many times as often as near ones.
 SPIKE_LEAST, SPIKE_TIMES, SPIKE_NEAR, SPIKE_CHARS = 20, 10, 8, 200
 #: A word ends hardly any sentence where fewer than one in this many of its uses do.
 RARE_END = 100
+#: Characters two responses share at least for one to be a shortened version of the other; shorter ones are told by their sentences.
+OPENING = 32
 
 
 def find_defects(
@@ -319,12 +352,12 @@ def find_defects(
 
     A record without messages or without a user message is no pair. Missing,
     blank and placeholder parts of an answer count as absent. An answer that
-    ends openly is cut off where its last sentence is the beginning of others
-    and never a whole one, where it ends on a word that others carry on, or
+    ends openly is cut off where it is the beginning of another response, where
+    its last sentence is the beginning of others and never a whole one, where it ends on a word that others carry on, or
     where open answers pile up at its length. Sentences and words are counted
     over all answers, added up per task before they are shuffled.
     """
-    narrow = df.filter(df[messages].isNotNull()).select(df[id_column].cast("bigint").alias("id"), df[messages], df[trace], df[final])
+    narrow = df.filter(df[messages].isNotNull()).select(df[id_column].alias("id"), df[messages], df[trace], df[final])
     rows = cut_lineage(_evidence(narrow, "id"))
     records = rows.filter("sort = 'r'").select("id", "key", "word", "defect", "total").distinct()
     open_ends = records.filter("key IS NOT NULL")
@@ -338,8 +371,10 @@ def find_defects(
     near = lengths.select(F.explode(F.sequence(F.col("total") - SPIKE_NEAR, F.col("total") + SPIKE_NEAR)).alias("total"), F.col("n").alias("m"))
     spikes = lengths.join(near.groupBy("total").agg(F.sum("m").alias("m")), "total")
     spikes = spikes.filter((F.col("n") >= SPIKE_LEAST) & (F.col("n") * 2 * SPIKE_NEAR > SPIKE_TIMES * (F.col("m") - F.col("n")))).select("total", F.lit(True).alias("spike"))
-    judged = open_ends.join(cut, "key", "left").join(whole, "key", "left").join(part, "word", "left").join(never, "word", "left").join(spikes, "total", "left")
-    broken = F.col("whole").isNull() & (F.coalesce("cut", "part", "never", "spike", F.lit(False)))
+    narrow_ids = open_ends.select("id").distinct()
+    short = cut_responses(responses(narrow, "id", messages, trace, final), narrow_ids).select("id", F.lit(True).alias("short"))
+    judged = open_ends.join(short, "id", "left").join(cut, "key", "left").join(whole, "key", "left").join(part, "word", "left").join(never, "word", "left").join(spikes, "total", "left")
+    broken = F.col("whole").isNull() & (F.coalesce("short", "cut", "part", "never", "spike", F.lit(False)))
     judged = judged.select("id", F.when(broken, F.lit("truncated")).otherwise(F.col("defect")).alias("defect"))
     out = records.filter("key IS NULL").select("id", "defect").unionByName(judged).filter("defect IS NOT NULL")
     return out.distinct().withColumnRenamed("id", id_column)
