@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import accumulate
 from urllib.parse import unquote
@@ -24,6 +25,8 @@ BAND = 64
 CHUNK = 1 << 22
 #: Items compared with the corpus at a time; more items make more passes, each with a bounded table.
 ITEMS_PER_BLOCK = 20_000
+#: Characters of such a block's items.
+BLOCK_CHARS = 1 << 24
 #: Items of a query set; a larger set is an error, never cut.
 MOST_ITEMS = 1_000_000
 #: Of eight words, seven must stay.
@@ -36,6 +39,8 @@ LONG_WORDS = 18
 DENSITY = 0.98
 #: A passage shorter than this is a turn of phrase.
 LEAST_WORDS = 6
+#: Hits of q-grams in items that are held at a time.
+EXPANDED = 1 << 21
 #: The ends of passages are found to within a changed word, so the share asked for may come out this much lower.
 TOLERANCE = 0.95
 #: Moves of the banded alignment within a passage: kept, one word changed, put in or left out, two of these.
@@ -89,30 +94,52 @@ def _grams(data: np.ndarray) -> np.ndarray:
     return v
 
 
+def shared_at_least(words: list[str], share: float) -> tuple[int, int]:
+    """The lemma's bounds for an item: q-grams it has in common with a text that holds it, in all and in one passage.
+
+    Such a text keeps K = share of the words in passages that each lose at most
+    one word in eight, so in at most K // LEAST_WORDS + K // STAY + 1 runs. A run
+    of c characters keeps c - Q + 1 q-grams, and no K words are shorter than the
+    K shortest. A passage has at least LEAST_WORDS words in a row, or STAY of
+    OF in two runs; longer ones keep more.
+    """
+    sizes = [len(w.encode()) for w in words]
+    kept = max(1, int(len(words) * share * TOLERANCE))
+    runs = min(kept, kept // LEAST_WORDS + kept // STAY + 1)
+    chars = sum(sorted(sizes)[:kept]) + kept - runs
+    whole = min((sum(sizes[i : i + LEAST_WORDS]) + LEAST_WORDS - Q for i in range(max(1, len(words) - LEAST_WORDS + 1))), default=1)
+    broken = min((sum(sorted(sizes[i : i + OF])[:STAY]) + STAY - 2 * Q for i in range(max(1, len(words) - OF + 1))), default=1)
+    return max(1, chars - runs * (Q - 1)), max(1, min(whole, broken))
+
+
 class ItemIndex:
-    """Q-grams of a block of items, behind a bitmap that most corpus q-grams fail."""
+    """Q-grams of a block of items, behind a bitmap that most corpus q-grams fail; items too short for passages as whole phrases."""
 
-    def __init__(self, items: list[tuple[int, str]], slots: list[frozenset[int]] | None = None, bits: int = 21):
-        self.ids, self.words, self.weights, self.slots, grams, owner, place = [], [], [], [], [], [], []
+    def __init__(self, items: list[tuple[int, str]], slots: list[frozenset[int]] | None = None, bits: int = 21, share: float = 0.5):
+        self.ids, self.words, self.places, self.weights, self.slots, self.phrases, bounds, grams, owner, place = [], [], [], [], [], {}, [], [], [], []
         for n, (item_id, text) in enumerate(items):
             norm = normalise(text)
-            data = np.frombuffer(norm.encode(), np.uint8)
             if not norm:
                 continue
-            if len(data) < Q:
-                data = np.pad(data, (0, Q - len(data)), constant_values=32)
+            words = norm.split()
+            data = np.frombuffer(norm.encode(), np.uint8)
+            if len(words) < LEAST_WORDS or len(data) < Q:
+                self.phrases.setdefault(f" {norm} ", []).append(item_id)
+                continue
             g = _grams(data)
             owner.append(np.full(len(g), len(self.ids)))
             place.append(np.arange(len(g)))
             grams.append(g)
             self.ids.append(item_id)
-            self.words.append(norm.split())
+            self.words.append(words)
+            self.places.append([0, *accumulate(len(w.encode()) + 1 for w in words[:-1])])
             self.slots.append(slots[n] if slots else frozenset())
+            bounds.append(shared_at_least(words, share))
             # a word as written may come apart into several, which share its weight
             pieces = [len(normalise(w).split()) for w in text.split()]
             weights = [1 / n for n in pieces for _ in range(n)]
             self.weights.append(weights if len(weights) == len(self.words[-1]) else [1.0] * len(self.words[-1]))
-        self.size = np.array([len(g) for g in grams], np.int64)
+        self.least, self.least_passage = (np.array([b[i] for b in bounds], np.int64) for i in (0, 1))
         g = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
         order = np.argsort(g, kind="stable")
         self.grams, first = np.unique(g[order], return_index=True)
@@ -126,13 +153,16 @@ class ItemIndex:
     def _slot(self, g: np.ndarray) -> np.ndarray:
         return (g * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
 
-    def lookup(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(position in g, item, place in item) of every shared q-gram."""
+    def lookup(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position in g, number of the q-gram) of every shared q-gram."""
         at = np.flatnonzero(self.seen[self._slot(g)])
         k = np.searchsorted(self.grams, g[at])
         k[k == len(self.grams)] = 0
         ok = self.grams[k] == g[at]
-        at, k = at[ok], k[ok]
+        return at[ok], k[ok]
+
+    def expand(self, at: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(position, item, place in item) for every item that has the q-gram."""
         n = self.first[k + 1] - self.first[k]
         rows = np.repeat(self.first[k] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
         return np.repeat(at, n), self.owner[rows], self.place[rows]
@@ -174,7 +204,10 @@ def _chains(cells: list[int], wide: int, cost: int, least: int, slots: frozenset
     return {f: (c, kept, lost) for f, (_, kept, c, lost) in out.items()}
 
 
-def banded_passages(item: list[str], doc: list[str], enough: float = float("inf"), weights: list[float] | None = None, slots: frozenset[int] = frozenset()) -> float:
+def banded_passages(
+    item: list[str], doc: list[str], enough: float = float("inf"), weights: list[float] | None = None, slots: frozenset[int] = frozenset(), regions: list[tuple[int, int, int, int]] | None = None,
+    item_at: list[int] | None = None, doc_at: list[int] | None = None,
+) -> float:
     """Words of the item (or their weights) that stand in the document within passages, in the item's order.
 
     Alignment over words, within the band of STEPS around a passage's diagonal;
@@ -184,17 +217,27 @@ def banded_passages(item: list[str], doc: list[str], enough: float = float("inf"
     for its ends, seven of eight words. In the ``slots``, where other items have
     other words, a change is no sign of an edit but of a text from the same
     template, so there only long passages may change. Stops early at ``enough`` words.
+    With ``regions`` (first and last place in the document, least and greatest
+    diagonal), and the places of the words, only words inside a region and its
+    band of diagonals are aligned.
     """
-    where: dict[str, list[int]] = {}
     wanted = set(item)
-    for j, w in enumerate(doc):
-        if w in wanted:
-            where.setdefault(w, []).append(j)
-    if not where:
-        return 0
     # a cell (i, j) is the number i * wide + j; the margin keeps neighbours of the first and last words apart
     wide = len(doc) + 8
-    cells = [i * wide + j for i, w in enumerate(item, 4) for j in where.get(w, ())]
+    found: set[int] = set()
+    for first, last, low, high in regions or [(0, 0, 0, 0)]:
+        j0, j1 = (max(0, bisect_left(doc_at, first - BAND) - 1), bisect_left(doc_at, last + BAND)) if regions else (0, len(doc))
+        where: dict[str, list[int]] = {}
+        for j in range(j0, j1):
+            if doc[j] in wanted:
+                where.setdefault(doc[j], []).append(j)
+        for i, w in enumerate(item):
+            for j in where.get(w, ()):
+                if not regions or low <= doc_at[j] - item_at[i] <= high:
+                    found.add((i + 4) * wide + j)
+    if not found:
+        return 0
+    cells = sorted(found)
     all_cells, step = set(cells), wide + 1
     # a word kept alone between two changes can't pay for either, so only words kept beside another count
     cells = [c for c in cells if c - step in all_cells or c + step in all_cells]
@@ -235,50 +278,114 @@ def _most_words(passages: dict[tuple[int, int], tuple[int, int]], upto: list[flo
 class Scanner:
     def __init__(self, index: ItemIndex, share: float):
         self.index, self.share = index, share
-        # the lemma: an edited word takes with it its own q-grams and Q - 1 beside them
-        self.least = np.maximum(1, (index.size * share * 0.4).astype(np.int64))
+        self.needed = [share * TOLERANCE * sum(w) for w in index.weights]
+        self.automaton = None
+        if index.phrases:
+            import ahocorasick
+
+            self.automaton = ahocorasick.Automaton()
+            for phrase, ids in index.phrases.items():
+                self.automaton.add_word(phrase, ids)
+            self.automaton.make_automaton()
+
+    def phrases(self, norms: list[str]) -> list[tuple[int, int]]:
+        """(row, item_id) of the items that are too short for passages and stand in a text as they are."""
+        if self.automaton is None:
+            return []
+        return sorted({(r, i) for r, n in enumerate(norms) for _, ids in self.automaton.iter(f" {n} ") for i in ids})
 
     def scan(self, norms: list[str]) -> list[tuple[int, int]]:
         """(row, item) of every text that holds an item."""
         encoded = [n.encode() for n in norms]
-        sizes = np.array([len(b) + Q for b in encoded])
+        sizes = np.array([len(b) + Q for b in encoded], np.int64)
         edges = np.r_[0, np.cumsum(sizes)]
         data = np.frombuffer(b"".join(b + b" " * Q for b in encoded), np.uint8)
-        if len(data) < Q:
+        if len(data) < Q or not self.index.ids:
             return []
         parts = []
         for start in range(0, len(data), CHUNK):
-            at, item, place = self.index.lookup(_grams(data[start : start + CHUNK + Q - 1]))
-            parts.append((at + start, item, place))
-        at, item, place = (np.concatenate(p) for p in zip(*parts))
-        if not len(at):
-            return []
+            at, k = self.index.lookup(_grams(data[start : start + CHUNK + Q - 1]))
+            parts.append((at + start, k))
+        at, k = (np.concatenate(p) for p in zip(*parts))
         row = np.searchsorted(edges, at, side="right") - 1
+        owners = self.index.first[k + 1] - self.index.first[k]
+        out: list[tuple[int, int]] = []
+        # texts together up to EXPANDED hits; a single text beyond that goes through its items in parts
+        weight = np.bincount(row, owners, minlength=len(norms))
+        first = 0
+        while first < len(norms):
+            last, total = first + 1, weight[first]
+            while last < len(norms) and total + weight[last] <= EXPANDED:
+                total += weight[last]
+                last += 1
+            part = slice(*np.searchsorted(row, [first, last]))
+            if total:
+                out += self._judge(norms, edges, at[part], k[part], row[part], owners[part], total)
+            first = last
+        return out
+
+    def _judge(self, norms: list[str], edges: np.ndarray, at: np.ndarray, k: np.ndarray, row: np.ndarray, owners: np.ndarray, total: float) -> list[tuple[int, int]]:
         n_items = len(self.index.ids)
-        pair = row * n_items + item
-        total = np.bincount(pair, minlength=len(norms) * n_items)
-        ok = total[pair] >= self.least[item]
-        pair, item = pair[ok], item[ok]
-        diagonal = (at[ok] - edges[row[ok]] - place[ok]) + (1 << 25)
-        found: set[int] = set()
-        # bands overlap by half, so near diagonals meet in one; a band counts if its q-grams could make a passage
-        hits: set[int] = set()
-        for shift in (0, BAND // 2):
-            values, counts = np.unique((pair << 26) | ((diagonal + shift) // BAND), return_counts=True)
-            owner = values >> 26
-            each, start = np.unique(owner, return_index=True)
-            if len(each):
-                sums = np.add.reduceat(np.where(counts >= LEAST_WORDS, counts, 0), start)
-                hits.update(each[sums >= self.least[each % n_items]].tolist())
-        words: dict[int, list[str]] = {}
-        for p in hits:
+        if total > EXPANDED:  # one text: count per item first, then look only at the items with enough q-grams
+            counts = np.zeros(n_items, np.int64)
+            steps = np.flatnonzero(np.diff(np.cumsum(owners) // EXPANDED, prepend=-1))
+            pieces = [slice(a, b) for a, b in zip(steps, [*steps[1:], len(at)])]
+            for p in pieces:
+                counts += np.bincount(self.index.expand(at[p], k[p])[1], minlength=n_items)
+            wanted = counts >= self.index.least
+            kept = []
+            for p in pieces:
+                place, item, inside = self.index.expand(at[p], k[p])
+                ok = wanted[item]
+                kept.append((place[ok], item[ok], inside[ok]))
+            at, item, place = (np.concatenate(x) for x in zip(*kept))
+            pair = row[0] * n_items + item
+        else:
+            which, item, place = self.index.expand(np.arange(len(at)), k)
+            at, pair = at[which], row[which] * n_items + item
+        if not len(at):
+            return []
+        diagonal = at - edges[pair // n_items] - place
+        # regions: q-grams of a pair on diagonals less than a band apart
+        bits = max(27, int(edges[-1]).bit_length() + 2)
+        key = (pair << bits) | (diagonal + (1 << bits - 2))
+        order = np.argsort(key)
+        key = key[order]
+        starts = np.flatnonzero(np.r_[True, np.diff(key) >= BAND])
+        counts = np.diff(np.r_[starts, len(key)])
+        owner = key[starts] >> bits
+        strong = counts >= self.index.least_passage[owner % n_items]
+        order, counts, owner = order[np.repeat(strong, counts)], counts[strong], owner[strong]
+        if not len(order):
+            return []
+        at, place, diagonal = at[order], place[order], diagonal[order]
+        starts = np.r_[0, np.cumsum(counts)[:-1]]
+        # each place of the item counts once
+        region = np.repeat(np.arange(len(starts)), counts)
+        once = np.sort((region << 26) | place)
+        counts = np.bincount(once[np.r_[True, np.diff(once) != 0]] >> 26, minlength=len(starts))
+        strong = np.flatnonzero(counts >= self.index.least_passage[owner % n_items])
+        if not len(strong):
+            return []
+        first, last = np.minimum.reduceat(at, starts)[strong], np.maximum.reduceat(at, starts)[strong] + Q
+        low, high = diagonal[starts][strong] - BAND, diagonal[np.r_[starts[1:], len(at)] - 1][strong] + BAND
+        owner, counts = owner[strong], counts[strong]
+        pairs, begins = np.unique(owner, return_index=True)
+        ok = np.add.reduceat(counts, begins) >= self.index.least[pairs % n_items]
+        found = []
+        words: dict[int, tuple[list[str], list[int]]] = {}
+        for p, s, e in zip(pairs[ok].tolist(), begins[ok].tolist(), np.r_[begins[1:], len(owner)][ok].tolist()):
             r, i = divmod(p, n_items)
+            base = int(edges[r])
+            regions = [(f - base, x - base, a, b) for f, x, a, b in zip(*(v[s:e].tolist() for v in (first, last, low, high)))]
             if r not in words:
-                words[r] = norms[r].split()
-            needed = self.share * TOLERANCE * sum(self.index.weights[i])
-            if banded_passages(self.index.words[i], words[r], needed, self.index.weights[i], self.index.slots[i]) >= needed:
-                found.add(p)
-        return [divmod(p, len(self.index.ids)) for p in sorted(found)]
+                ws = norms[r].split()
+                words[r] = (ws, [0, *accumulate(len(w.encode()) + 1 for w in ws[:-1])])
+            doc, doc_at = words[r]
+            got = banded_passages(self.index.words[i], doc, self.needed[i], self.index.weights[i], self.index.slots[i], regions, self.index.places[i], doc_at)
+            if got >= self.needed[i]:
+                found.append((r, i))
+        return found
 
 
 def find_leaks(
@@ -288,32 +395,41 @@ def find_leaks(
     """(item_id, doc_id): documents that hold at least ``share`` of an item's words, in its order.
 
     The items are a stated query set: they are read to the driver in blocks of
-    ITEMS_PER_BLOCK and every block is held against all rows in one narrow
-    pass over the corpus, without a shuffle of texts. Null and blank texts on
-    either side match nothing; repeated rows give one result.
+    ITEMS_PER_BLOCK or BLOCK_CHARS and every block is held against all rows in
+    one narrow pass over the corpus, without a shuffle of texts. Items of fewer
+    than LEAST_WORDS words are found where they stand as a whole, apart from
+    form. Null and blank texts and null ids on either side match nothing;
+    repeated rows give one result.
     """
-    rows = [(r[0], r[1]) for r in items.select(item_column, item_text).limit(MOST_ITEMS + 1).collect() if r[1]]
+    rows = [(r[0], r[1]) for r in items.select(item_column, item_text).limit(MOST_ITEMS + 1).collect() if r[0] is not None and r[1]]
     if len(rows) > MOST_ITEMS:
         raise ValueError("more items than a query set may have")
-    narrow = corpus.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).filter("text IS NOT NULL")
+    narrow = corpus.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).filter("text IS NOT NULL AND doc_id IS NOT NULL")
     slots = template_slots([normalise(text).split() for _, text in rows])  # over all items, whatever the blocks
+    item_type, doc_type = items.schema[item_column].dataType.simpleString(), narrow.schema["doc_id"].dataType.simpleString()
+    item_arrow = pa.int64() if item_type == "bigint" else None
     out = None
-    for start in range(0, max(1, len(rows)), ITEMS_PER_BLOCK):
-        block, block_slots = rows[start : start + ITEMS_PER_BLOCK], slots[start : start + ITEMS_PER_BLOCK]
-
-        def run(batches: Iterator[pa.RecordBatch], block=block, block_slots=block_slots) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(block, block_slots)
+    start = 0
+    while start < max(1, len(rows)):
+        end, size = start, 0
+        while end < len(rows) and end - start < ITEMS_PER_BLOCK and (end == start or size + len(rows[end][1]) <= BLOCK_CHARS):
+            size += len(rows[end][1])
+            end += 1
+        # built once, at most about 30 bytes a character of BLOCK_CHARS
+        shared = corpus.sparkSession.sparkContext.broadcast(ItemIndex(rows[start:end], slots[start:end], share=share))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index = shared.value
             scanner = Scanner(index, share)
             for batch in batches:
-                ids = batch.column(0).to_pylist()
+                ids = batch.column(0)
                 for first, texts in text_blocks(batch.column(1)):
                     norms = [normalise(t) for t in texts]
-                    hits = scanner.scan(norms) if index.ids else []
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([index.ids[i] for _, i in hits], pa.int64()), pa.array([ids[first + r] for r, _ in hits], pa.int64())],
-                        ["item_id", "doc_id"],
-                    )
+                    hits = [(r, index.ids[i]) for r, i in scanner.scan(norms)] + scanner.phrases(norms)
+                    docs = ids.take(pa.array([first + r for r, _ in hits], pa.int64()))
+                    yield pa.RecordBatch.from_arrays([pa.array([i for _, i in hits], item_arrow) if hits or item_arrow else pa.array([], pa.string()), docs], ["item_id", "doc_id"])
 
-        part = narrow.mapInArrow(run, "item_id bigint, doc_id bigint")
+        part = narrow.mapInArrow(run, f"item_id {item_type}, doc_id {doc_type}")
         out = part if out is None else out.unionByName(part)
+        start = max(end, start + 1)
     return out.distinct()

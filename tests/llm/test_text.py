@@ -278,3 +278,37 @@ def test_neighbours_equal_brute_force(spark):
     want = {a for a in asked - known if any(o != a and o.startswith(a) for o in known | asked)}
     k, a = (spark.createDataFrame([(x,) for x in s], "key string").repartition(3) for s in (known, asked))
     assert {x.key for x in pairs.shortened(k, a).collect()} == want
+
+
+def test_short_items_are_found_whole(spark):
+    items = spark.createDataFrame([(1, "Anchors"), (2, "two words"), (3, "Name the late shard now"), (4, "nothing here"), (None, "two words"), (5, "  ")], "item_id bigint, text string")
+    corpus = spark.createDataFrame([(1, "All ANCHORS hold."), (2, "anchorsmith, two\nwords!"), (3, "<b>Name</b> the late shard, now"), (4, None), (5, ""), (None, "anchors")], "doc_id bigint, text string")
+    assert sorted(tuple(r) for r in leaks.find_leaks(corpus, items).collect()) == [(1, 1), (2, 2), (3, 3)]
+
+
+def test_many_items_of_one_template_in_bounded_memory():
+    """20,000 items that differ in one name: a text of the template is expanded part by part, and its item found."""
+    import tracemalloc
+
+    make = "copy the value stored under {} exactly ignore the decoy beside it and append the suffix to the narrow keys before noon".format
+    items = [(i, make(f"name{i:05d}")) for i in range(20_000)]
+    index = leaks.ItemIndex(items, [frozenset({5})] * len(items))
+    scanner = leaks.Scanner(index, 0.5)
+    texts = ["plain words of another kind " * 50] * 200 + [make("name00007")]
+    tracemalloc.start()
+    hits = scanner.scan(texts)
+    assert tracemalloc.get_traced_memory()[1] < 1 << 30
+    tracemalloc.stop()
+    assert (200, 7) in hits and all(r == 200 for r, _ in hits)
+
+
+def test_lemma_bound_is_met(monkeypatch):
+    """No text that keeps half of an item in passages of seven words in eight has fewer q-grams in common than the bound."""
+    r = random.Random(31)
+    for _ in range(200):
+        ws = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9))) for _ in range(r.randint(12, 60))]
+        kept = list(range(len(ws)))[: int(len(ws) * 0.5) + 1]
+        text = " ".join("changed" if n % 8 == 4 else ws[n] for n in kept)
+        grams = lambda s: [s[x : x + leaks.Q] for x in range(len(s) - leaks.Q + 1)]
+        have = set(grams(text))
+        assert sum(g in have for g in grams(" ".join(ws))) >= leaks.shared_at_least(ws, 0.5)[0]
