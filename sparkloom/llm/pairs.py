@@ -36,6 +36,7 @@ _LETTERS = {"de": "äöüß", "fr": "èêçàùœûîô", "es": "ñáíóú¿¡"
 #: Last code points of the blocks of writing systems, and their names.
 _SCRIPT_ENDS = [0x36F, 0x3FF, 0x52F, 0x58F, 0x5FF, 0x7FF, 0x8FF, 0x97F, 0xDFF, 0xE7F, 0x10FF, 0x11FF, 0x303F, 0x30FF, 0x318F, 0x9FFF, 0xABFF, 0xD7FF, 0x10FFFF]
 _SCRIPTS = ["", "greek", "cyrillic", "armenian", "hebrew", "arabic", "arabic", "devanagari", "indic", "thai", "georgian", "hangul", "", "cjk", "hangul", "cjk", "", "hangul", ""]
+_OTHER_SCRIPT = re.compile("[\u0370-\u1dff\u2c00-\U0010ffff]")
 _LETTER_OF = {c: lang for lang, cs in _LETTERS.items() for c in cs}
 _ELIDED = re.compile(r"\b(?:l|d|n|s|j|c|qu|m|t)['’]", re.I)
 _WORDS_OF = {w: [] for ws in FUNCTION_WORDS.values() for w in ws.split()}
@@ -91,7 +92,7 @@ def prose(text: str) -> str:
 
 def script(text: str) -> str | None:
     """Writing system of most letters if it is not the Latin one."""
-    if text.isascii():
+    if not _OTHER_SCRIPT.search(text):
         return None
     names = Counter(_SCRIPTS[bisect_left(_SCRIPT_ENDS, ord(c))] for c in text if c.isalpha())
     top = names.most_common(1)
@@ -103,7 +104,7 @@ def language(text: str) -> str | None:
     other = script(text)
     if other:
         return other
-    votes: Counter[str] = Counter()
+    votes = dict.fromkeys(FUNCTION_WORDS, 0.0)
     for w in _WORD.findall(text.lower()):
         langs = _WORDS_OF.get(w)
         if langs:
@@ -114,10 +115,10 @@ def language(text: str) -> str | None:
                 votes[lang] += 1
     votes["fr"] += len(_ELIDED.findall(text))
     votes["es"] += text.count("¿") + text.count("¡")
-    top = votes.most_common(2)
-    if not top or top[0][1] < 2 or (len(top) > 1 and top[0][1] < 1.5 * top[1][1]):
+    second, first = sorted(votes.values())[-2:]
+    if first < 2 or first < 1.5 * second:
         return None
-    return top[0][0]
+    return max(votes, key=votes.get)
 
 
 def prompt_languages(prompt: str) -> set[str]:
@@ -203,19 +204,19 @@ def sentence_key(sentence: str) -> str:
     return re.sub(r"[\s:,;()\"'`]+", " ", _MASK.sub(" # ", sentence).lower()).strip(" .!?-*>")
 
 
-def last_user(messages: list[dict] | None) -> int:
-    return max((i for i, m in enumerate(messages or ()) if m and m["role"] == "user"), default=-1)
-
-
 def analyse(messages, trace, final) -> tuple[str, str | None, list[str]] | None:
-    """(defect or '', open sentence, answer parts); None where there is no pair."""
-    at = last_user(messages)
+    """judge for one record; None where there is no pair."""
+    at = max((i for i, m in enumerate(messages or ()) if m and m["role"] == "user"), default=-1)
     if at < 0:
         return None
-    prompt = messages[at]["content"] or ""
     parts = [m["content"] for m in messages[at + 1 :] if m and m["role"] == "assistant"]
     parts += [t["content"] for t in trace or () if t and t["type"] in ("assistant", "patch")]
-    parts = [p for p in [*parts, final] if p and not is_placeholder(p)]
+    return judge(messages[at]["content"] or "", [*parts, final])
+
+
+def judge(prompt: str, parts: list[str | None]) -> tuple[str, str | None, list[str]]:
+    """(defect or '', open sentence, answer parts that say something)."""
+    parts = [p for p in parts if p and not is_placeholder(p)]
     if not parts:
         return "empty", None, parts
     answer = "\n".join(parts)
@@ -227,53 +228,65 @@ def analyse(messages, trace, final) -> tuple[str, str | None, list[str]] | None:
     cut, tail = ending(parts)
     if cut:
         return "truncated", None, parts
-    allowed = prompt_languages(prompt)
-    own = language(spoken) if allowed else None
-    return ("other_language" if own and own not in allowed else ""), tail, parts
+    own = language(spoken)
+    allowed = prompt_languages(prompt) if own else None
+    return ("other_language" if allowed and own not in allowed else ""), tail, parts
+
+
+def prompts_and_parts(df: DataFrame, id_column: str, messages: str, trace: str, final: str) -> DataFrame:
+    """(id, prompt, parts): the last user message and what follows it; JVM-side, so that only texts travel to Python."""
+    m, t = F.col(messages), F.col(trace)
+    last = F.array_max(F.transform(m, lambda x, i: F.when(x["role"] == "user", i + 1).otherwise(0)))
+    pairs = df.filter(m.isNotNull() & (F.size(m) > 0)).withColumn("__last", last).filter("__last > 0")
+    said = F.filter(F.slice(m, F.col("__last") + 1, F.size(m)), lambda x: x["role"] == "assistant")
+    steps = F.filter(F.coalesce(t, F.array().cast(df.schema[trace].dataType)), lambda x: x["type"].isin("assistant", "patch"))
+    parts = F.concat(F.transform(said, lambda x: x["content"]), F.transform(steps, lambda x: x["content"]), F.array(F.col(final)))
+    return pairs.select(F.col(id_column).alias("id"), F.coalesce(F.get(m, F.col("__last") - 1)["content"], F.lit("")).alias("prompt"), parts.alias("parts"))
 
 
-def _evidence(df: DataFrame, id_column: str) -> DataFrame:
-    """Rows of four sorts: record verdicts (r), complete sentences (s), words (w), lengths of open answers (n)."""
+def _evidence(pairs: DataFrame) -> DataFrame:
+    """Rows of three sorts: record verdicts (r), complete sentences (s), words (w); an open answer comes with its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["sort", "id", "key", "word", "defect", "total", "final"]
+        names = ["sort", "id", "key", "word", "defect", "total", "final", "answer"]
         for batch in batches:
             rows: list[tuple] = []
-            sentences: Counter[str] = Counter()
-            words: Counter[str] = Counter()
-            ends: Counter[str] = Counter()
-            ids, *columns = (batch.column(i) for i in range(4))
-            for n in range(batch.num_rows):
-                found = analyse(*(c[n].as_py() for c in columns))
-                if found is None:
-                    continue
-                defect, tail, parts = found
+            sentences: Counter[tuple[str, bool]] = Counter()
+            ids, prompts, parts_column = (batch.column(i).to_pylist() for i in range(3))
+            for record, prompt, said in zip(ids, prompts, parts_column):
+                defect, tail, parts = judge(prompt, said)
                 if defect not in ("", "other_language"):
-                    rows.append(("r", ids[n].as_py(), None, None, defect, None, None))
+                    rows.append(("r", record, None, None, defect, None, None, None))
                     continue
                 text = "\n".join(parts)
                 for s in _SENTENCE.split(text):
                     closed = s[-1:] in _STOP
-                    if not s or not (closed or s != tail):
-                        continue
-                    key = sentence_key(s)
-                    if len(key) > 2:
-                        sentences[key] += 1
-                        ws = key.split(" ")
-                        words.update(ws)
-                        ends[ws[-1]] += closed
+                    if s and (closed or s != tail):
+                        sentences[s, closed] += 1
                 if tail is None and not defect:
                     continue
                 key = sentence_key(tail) if tail else None
                 word = key.rsplit(" ", 1)[-1] if key else None
-                rows.append(("r", ids[n].as_py(), key, word, defect or None, len(text), None))
-            rows += [("s", None, k, None, None, c, None) for k, c in sentences.items()]
-            rows += [("w", None, k, None, None, c, ends[k]) for k, c in words.items()]
-            columns = list(zip(*rows)) if rows else [[]] * 7
-            types = [pa.string(), batch.schema.field(0).type, pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+                rows.append(("r", record, key, word, defect or None, len(text), None, text if tail else None))
+            keys: Counter[str] = Counter()
+            words: Counter[str] = Counter()
+            ends: Counter[str] = Counter()
+            for (s, closed), n in sentences.items():
+                key = sentence_key(s)
+                if len(key) > 2:
+                    keys[key] += n
+                    ws = key.split(" ")
+                    for w in ws:
+                        words[w] += n
+                    ends[ws[-1]] += closed * n
+            rows += [("s", None, k, None, None, c, None, None) for k, c in keys.items()]
+            rows += [("w", None, k, None, None, c, ends[k], None) for k, c in words.items()]
+            columns = list(zip(*rows)) if rows else [[]] * 8
+            types = [pa.string(), batch.schema.field(0).type, pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
-    return df.mapInArrow(run, f"sort string, id {df.schema[id_column].dataType.simpleString()}, key string, word string, defect string, total bigint, final bigint")
+    kind = pairs.schema["id"].dataType.simpleString()
+    return pairs.mapInArrow(run, f"sort string, id {kind}, key string, word string, defect string, total bigint, final bigint, answer string")
 
 
 def shortened(known: DataFrame, asked: DataFrame) -> DataFrame:
@@ -312,29 +325,29 @@ def shortened(known: DataFrame, asked: DataFrame) -> DataFrame:
     return inner.unionByName(edges.filter("key IS NOT NULL AND startswith(next, key)").select("key"))
 
 
-def responses(df: DataFrame, id_column: str, messages: str, trace: str, final: str) -> DataFrame:
-    """(id, response): what follows the last user message, names and numbers masked, in lower case; JVM-side."""
-    m, t = F.col(messages), F.col(trace)
-    last = F.array_max(F.transform(m, lambda x, i: F.when(x["role"] == "user", i + 1).otherwise(0)))
-    said = F.filter(F.slice(m, last + 1, F.size(m)), lambda x: x["role"] == "assistant")
-    steps = F.filter(F.coalesce(t, F.array().cast(df.schema[trace].dataType)), lambda x: x["type"].isin("assistant", "patch"))
-    text = F.concat_ws("\n", F.transform(said, lambda x: x["content"]), F.transform(steps, lambda x: x["content"]), F.col(final))
-    key = F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"\S*[_/\d]\S*", " # "), r"[\s:,;()\"'`]+", " "))
-    return df.filter((F.size(m) > 0) & (last > 0)).select(F.col(id_column).alias("id"), key.alias("response")).filter("response <> ''")
+def _response_key(text) -> F.Column:
+    """A response in lower case, names and numbers masked; a beginning of a response gives a beginning of its key."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"\S*[_/\d]\S*", " # "), r"[\s:,;()\"'`]+", " "))
 
 
-def cut_responses(all_responses: DataFrame, open_ids: DataFrame) -> DataFrame:
-    """(id) of responses of open_ids that are a proper beginning of another response.
+def cut_responses(pairs: DataFrame, opened: DataFrame) -> DataFrame:
+    """(id) of the open answers (id, answer) that are a proper beginning of another response.
 
     The responses are sorted by text and compared with their neighbours. Only
-    responses that begin like an open one, up to OPENING characters, need to be
-    sorted; the rest cannot be a neighbour that begins with one.
+    those that begin like an open one, up to OPENING characters, are sorted;
+    no other can begin with one. That is told by a hash, before their texts
+    are normalised or shuffled.
     """
-    start = F.xxhash64(F.substring("response", 1, OPENING))
-    mine = all_responses.join(open_ids, "id", "left_semi").filter(F.length("response") >= OPENING)
-    near = all_responses.withColumn("start", start).join(mine.select(start.alias("start")).distinct(), "start", "left_semi")
-    keys = shortened(near.join(open_ids, "id", "left_anti").select(F.col("response").alias("key")), mine.select(F.col("response").alias("key")))
-    return mine.join(keys.withColumnRenamed("key", "response"), "response").select("id").distinct()
+    start = lambda text: F.xxhash64(F.substring(_response_key(F.substring(text, 1, 4 * OPENING)), 1, OPENING))
+    mine = opened.select("id", _response_key("answer").alias("key"), start(F.col("answer")).alias("start")).filter(F.length("key") >= OPENING)
+    starts = mine.select("start").distinct()
+    if starts.limit(BROADCAST_STARTS + 1).count() <= BROADCAST_STARTS:
+        starts = F.broadcast(starts)
+    text = F.concat_ws("\n", "parts")
+    near = pairs.select("id", text.alias("text")).withColumn("start", start(F.col("text"))).join(starts, "start", "left_semi")
+    near = near.join(opened.select("id"), "id", "left_anti").select(_response_key("text").alias("key"))
+    keys = shortened(near, mine.select("key"))
+    return mine.join(keys, "key", "left_semi").select("id").distinct()
 
 
 #: An open answer's length counts as a limit where it is met this often and this many times as often as near ones.
@@ -343,6 +356,8 @@ SPIKE_LEAST, SPIKE_TIMES, SPIKE_NEAR, SPIKE_CHARS = 20, 10, 8, 200
 RARE_END = 100
 #: Characters two responses share at least for one to be a shortened version of the other; shorter ones are told by their sentences.
 OPENING = 32
+#: Hashes of such openings that may be sent to every task.
+BROADCAST_STARTS = 500_000
 
 
 def find_defects(
@@ -357,8 +372,8 @@ def find_defects(
     where open answers pile up at its length. Sentences and words are counted
     over all answers, added up per task before they are shuffled.
     """
-    narrow = df.filter(df[messages].isNotNull()).select(df[id_column].alias("id"), df[messages], df[trace], df[final])
-    rows = cut_lineage(_evidence(narrow, "id"))
+    pairs = prompts_and_parts(df, id_column, messages, trace, final)
+    rows = cut_lineage(_evidence(pairs))
     records = rows.filter("sort = 'r'").select("id", "key", "word", "defect", "total").distinct()
     open_ends = records.filter("key IS NOT NULL")
     sentences = rows.filter("sort = 's'").select("key").distinct()
@@ -371,8 +386,7 @@ def find_defects(
     near = lengths.select(F.explode(F.sequence(F.col("total") - SPIKE_NEAR, F.col("total") + SPIKE_NEAR)).alias("total"), F.col("n").alias("m"))
     spikes = lengths.join(near.groupBy("total").agg(F.sum("m").alias("m")), "total")
     spikes = spikes.filter((F.col("n") >= SPIKE_LEAST) & (F.col("n") * 2 * SPIKE_NEAR > SPIKE_TIMES * (F.col("m") - F.col("n")))).select("total", F.lit(True).alias("spike"))
-    narrow_ids = open_ends.select("id").distinct()
-    short = cut_responses(responses(narrow, "id", messages, trace, final), narrow_ids).select("id", F.lit(True).alias("short"))
+    short = cut_responses(pairs, rows.filter("answer IS NOT NULL").select("id", "answer").distinct()).select("id", F.lit(True).alias("short"))
     judged = open_ends.join(short, "id", "left").join(cut, "key", "left").join(whole, "key", "left").join(part, "word", "left").join(never, "word", "left").join(spikes, "total", "left")
     broken = F.col("whole").isNull() & (F.coalesce("short", "cut", "part", "never", "spike", F.lit(False)))
     judged = judged.select("id", F.when(broken, F.lit("truncated")).otherwise(F.col("defect")).alias("defect"))

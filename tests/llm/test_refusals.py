@@ -56,7 +56,8 @@ def test_sorted_responses(spark):
     full = "The cause is the mask that drops late rows before they are counted, so move the guard"
     rows = [(1, [("user", "Why?"), ("assistant", full + " above the loop and run the tests again.")], None, None), (2, [("user", "Why?"), ("assistant", full)], None, None), (3, [("user", "Why?")], [("assistant", None)], full.replace("mask", "gate") + " below"), (4, None, None, full), (None, [], None, None)]
     df = spark.createDataFrame(rows, "record_id string, messages array<struct<role:string,content:string>>, trace array<struct<type:string,content:string>>, final string")
-    r = pairs.responses(df, "record_id", "messages", "trace", "final")
-    assert {x.id for x in r.collect()} == {"1", "2", "3"}
-    assert [x.id for x in pairs.cut_responses(r, spark.createDataFrame([("2",), ("3",)], "id string")).collect()] == ["2"]
+    p = pairs.prompts_and_parts(df, "record_id", "messages", "trace", "final")
+    assert {x.id for x in p.collect()} == {"1", "2", "3"}
+    opened = spark.createDataFrame([("2", full), ("3", full.replace("mask", "gate") + " below")], "id string, answer string")
+    assert [x.id for x in pairs.cut_responses(p, opened).collect()] == ["2"]
     assert {x.record_id: x.defect for x in pairs.find_defects(df).collect()} == {"2": "truncated"}
