@@ -14,13 +14,13 @@ from sparkloom.session import cut_lineage
 
 #: Characters of a block, about; a record stands in the block in which it begins.
 BLOCK_CHARS = 512
-#: Parts a family's order is cut into for its running sums.
-SUM_PARTS = 4096
+#: Rows of a part of a family's order, about, for its running sums.
+PART_ROWS = 50_000
 #: Slots generated from one driver row.
 SEGMENT = 1 << 20
 #: Rows of the target table that may be read to the driver.
 MOST_TARGETS = 10_000
-#: Size of an output shard, and the most shards of a mix.
+#: Size of an output shard, and the most shards of a mix; a mix beyond both has larger shards.
 SHARD_CHARS, MOST_SHARDS = 1 << 20, 10_000
 
 
@@ -49,31 +49,41 @@ def permute(at: np.ndarray, n: np.ndarray, seed: np.ndarray) -> np.ndarray:
 
 
 def shard_counts(slots: list[int], shards: int, seed: int) -> np.ndarray:
-    """Counts per shard and source: multinomial draws, given that each source's slots add up to its quota."""
+    """Counts per shard and source: multinomial draws by what each source has left, held to it.
+
+    What a draw exceeds of one source goes to those that have most left, so
+    every shard is full and every source's slots are dealt out, at any size.
+    """
     rng = np.random.default_rng(seed)
     left = np.array(slots, np.int64)
     out = np.zeros((shards, len(slots)), np.int64)
     for i in range(shards):
         total = int(left.sum())
         take = -(-total // (shards - i))
-        if i == shards - 1:
-            out[i] = left
-        elif total < 1_000_000_000:
-            out[i] = rng.multivariate_hypergeometric(left, take, method="marginals")
-        else:
-            out[i] = np.minimum(left, rng.multinomial(take, left / total))
-        left -= out[i]
+        if total == 0:
+            break
+        draw = np.minimum(left, rng.multinomial(take, left / total))
+        for j in np.argsort(draw - left):  # most left first
+            more = min(take - int(draw.sum()), int(left[j] - draw[j]))
+            draw[j] += more
+        out[i] = draw
+        left -= draw
     return out
 
 
-def blocks_of(records: DataFrame, block_chars: int) -> DataFrame:
+def parts_for(rows: int) -> int:
+    """Parts for running sums over so many rows: a part holds about PART_ROWS, whatever their number."""
+    return max(1, -(-rows // PART_ROWS))
+
+
+def blocks_of(records: DataFrame, block_chars: int, parts: int) -> DataFrame:
     """(family, block, record_id, chars): records in pseudorandom order, cut into blocks of fixed length.
 
-    Running sums go over SUM_PARTS hash parts of each family, then within a
+    Running sums go over ``parts`` hash parts of each family, then within a
     part, so no window holds a whole family.
     """
     h = F.xxhash64(F.lit(0), "record_id")
-    r = records.withColumn("h", h).withColumn("part", F.pmod(F.shiftright("h", 20), F.lit(SUM_PARTS)))
+    r = records.withColumn("h", h).withColumn("part", F.pmod(F.shiftright("h", 20), F.lit(parts)))
     sums = r.groupBy("family", "part").agg(F.sum("chars").alias("s"))
     before = F.sum("s").over(Window.partitionBy("family").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     sums = sums.select("family", "part", F.coalesce(before, F.lit(0)).alias("offset"))
@@ -111,9 +121,10 @@ def draw(records: DataFrame, targets: DataFrame, *, seed: int = 17, block_chars:
     spark = records.sparkSession
     wanted = targets_of(targets)
     families = {t["family"] for t in wanted}
-    known = cut_lineage(blocks_of(records.filter(F.col("chars").isNotNull() & (F.col("chars") > 0) & F.col("family").isin(sorted(families))), block_chars))
+    records = cut_lineage(records.select("record_id", "family", "chars"))  # narrow rows; the texts are read once
+    rows, size = records.agg(F.count(F.lit(1)), F.coalesce(F.sum("chars"), F.lit(0))).collect()[0]
+    known = cut_lineage(blocks_of(records.filter(F.col("chars").isNotNull() & (F.col("chars") > 0) & F.col("family").isin(sorted(families))), block_chars, parts_for(rows)))
     facts = {r["family"]: r for r in known.groupBy("family").agg(F.sum("chars").alias("chars"), (F.max("block") + 1).alias("n"), F.count(F.lit(1)).alias("records")).collect()}
-    size = records.agg(F.sum("chars")).collect()[0][0] or 0
     plan, segments = [], []
     for i, t in enumerate(sorted(wanted, key=lambda t: (t["mix_name"], t["family"]))):
         f = facts.get(t["family"])
@@ -139,7 +150,7 @@ def draw(records: DataFrame, targets: DataFrame, *, seed: int = 17, block_chars:
     slots = slots.mapInArrow(index, f"{named}, block bigint")
     sizes = known.groupBy("family", "block").agg(F.sum("chars").alias("block_chars"))
     # the last pass: running sums of its blocks, over parts of the order and within a part
-    last = slots.filter("partial").join(sizes, ["family", "block"]).withColumn("part", F.floor(F.col("p") * SUM_PARTS / F.col("n")))
+    last = slots.filter("partial").join(sizes, ["family", "block"]).withColumn("part", F.floor(F.col("p") / PART_ROWS))
     sums = last.groupBy("cell", "part").agg(F.sum("block_chars").alias("s"))
     before = F.sum("s").over(Window.partitionBy("cell").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     sums = sums.select("cell", "part", F.coalesce(before, F.lit(0)).alias("offset"))

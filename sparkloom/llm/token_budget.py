@@ -65,13 +65,20 @@ def budget(df: DataFrame, record_column: str, slice_columns: list[str], texts_co
     """Token totals per slice, a record delivered twice counted once.
 
     Deliveries of a record share its content, so counting comes first and only
-    narrow rows meet in the shuffle; of the slices a record was delivered
-    under, the least in order wins. Rows with a null record id are one record.
+    narrow rows meet in the shuffle. Of deliveries that differ the one with the
+    most tokens counts, under the least of its slices, and n_differing tells how
+    many such records there are. Rows without a record id are one record each,
+    equal ones being deliveries of the same.
     """
-    counted = count_tokens(df.select(record_column, *slice_columns, texts_column), texts_column)
-    once = counted.groupBy(record_column).agg(F.min(F.struct(*slice_columns, "n_texts", "n_tokens")).alias("__once"))
+    nameless = F.when(F.col(record_column).isNull(), F.xxhash64(*slice_columns, texts_column))
+    counted = count_tokens(df.select(record_column, nameless.alias("__nameless"), *slice_columns, texts_column), texts_column)
+    # the least of the struct: most tokens first
+    once = counted.groupBy(record_column, "__nameless").agg(
+        F.min(F.struct((-F.col("n_tokens")).alias("t"), (-F.col("n_texts")).alias("n"), *slice_columns)).alias("__once"), F.max("n_tokens").alias("__most"), F.min("n_tokens").alias("__least")
+    )
     return once.groupBy(*[F.col(f"__once.{c}").alias(c) for c in slice_columns]).agg(
         F.count(F.lit(1)).alias("n_records"),
-        F.sum("__once.n_texts").alias("n_texts"),
-        F.sum("__once.n_tokens").alias("n_tokens"),
+        F.sum(-F.col("__once.n")).alias("n_texts"),
+        F.sum(-F.col("__once.t")).alias("n_tokens"),
+        F.count_if(F.col("__most") > F.col("__least")).alias("n_differing"),
     )

@@ -69,10 +69,16 @@ def test_budget_counts_a_record_once(spark):
     rows = [(1, "a", ["Hello world", None, ""]), (1, "a", ["Hello world", None, ""]), (2, "a", None), (3, "b", ["x"]), (None, "b", ["x"])]
     df = spark.createDataFrame(rows, "r bigint, origin string, texts array<string>")
     got = sorted(tuple(x) for x in token_budget.budget(df, "r", ["origin"], "texts").collect())
-    assert got == [("a", 2, 1, 2), ("b", 2, 2, 2)]
+    assert got == [("a", 2, 1, 2, 0), ("b", 2, 2, 2, 0)]
     assert token_budget.budget(df.limit(0), "r", ["origin"], "texts").count() == 0
 
 
+def test_budget_of_nameless_and_differing_rows(spark):
+    rows = [(None, "a", ["x"]), (None, "a", ["x"]), (None, "a", ["Hello world"]), (1, "a", ["Hello"]), (1, "a", ["Hello world again"]), (1, "b", None)]
+    df = spark.createDataFrame(rows, "r bigint, origin string, texts array<string>")
+    assert [tuple(x) for x in token_budget.budget(df, "r", ["origin"], "texts").collect()] == [("a", 3, 3, 6, 1)]
+
+
 def test_long_text_weighted_by_frequency(spark):
     df = spark.createDataFrame([(1, "a", ["word again " * 30000])], "r bigint, origin string, texts array<string>")
     text = "word again " * 30000
