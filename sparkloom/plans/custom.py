@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -13,20 +11,15 @@ from sparkloom.functions.text import extract_fenced
 from sparkloom.operators import runlog, tokens
 from sparkloom.plans.corpus import VOCAB, vocabulary
 from sparkloom.plans.registry import query
+from sparkloom.session import new_folder
 from sparkloom.streaming import logs
 from sparkloom.tables import load, spread
 
 
-def _shared_folder(s) -> str:
-    """New folder for a stream's output and state: under spark.checkpoint.dir, machine-local only where that is unset."""
-    root = s.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "sparkloom-streams")
-    return f"{root}/{uuid.uuid4().hex}"
-
-
 @query("st01")
 def st01(s, d):
     """Log rows tailed as a stream and aggregated per run and day."""
-    folder = _shared_folder(s)
+    folder = new_folder(s, "stream")
     schema = load(s, d, "train_log").schema
     logs.drain(logs.live_summary(logs.tail(s, _folder(d), schema, "parquet")), folder, "update", keep="day")
     out = s.read.parquet(folder).groupBy("day", "run_id").agg(F.max_by(F.struct("n", "last_step", "best_loss"), "__batch").alias("r"))
@@ -40,7 +33,7 @@ def _folder(d: str) -> str:
 @query("st02")
 def st02(s, d):
     """Early stop of every run, folded over a stream; equal to the batch fold of u00."""
-    folder = _shared_folder(s)
+    folder = new_folder(s, "stream")
     log = logs.tail(s, _folder(d), load(s, d, "train_log").schema, "parquet")
     logs.drain(logs.early_stop(log, min_delta=0.01, patience=3), folder, "update", keep="run_id")
     out = s.read.parquet(folder).groupBy("run_id").agg(F.max_by(F.struct("best", "streak", "scale", "stop"), "__batch").alias("r"))

@@ -27,7 +27,9 @@ def fetch(url: str, opener: Callable | None = None, sleep: Callable = time.sleep
 
 
 class Page(InputPartition):
-    def __init__(self, offset: int, length: int):
+    """One page, or with length None all pages from offset on, up to the first empty one."""
+
+    def __init__(self, offset: int, length: int | None):
         self.offset, self.length = offset, length
 
 
@@ -38,13 +40,21 @@ class PageReader(DataSourceReader):
     def partitions(self) -> list[Page]:
         total = self.total
         if total is None:
-            total = int(fetch(f"{self.url}&offset=0&length=1").get("num_rows_total") or 0)
+            stated = fetch(f"{self.url}&offset=0&length=1").get("num_rows_total")
+            if stated is None:  # a service that names no total is paged through by one task
+                return [Page(0, None)]
+            total = int(stated)
         return [Page(o, min(PAGE, total - o)) for o in range(0, total, PAGE)]
 
     def read(self, partition: Page) -> Iterator[tuple]:
-        payload = fetch(f"{self.url}&offset={partition.offset}&length={partition.length}")
-        for item in payload.get("rows") or []:
-            yield item.get("row_idx"), json.dumps(item.get("row"), sort_keys=True)
+        offset = partition.offset
+        while True:
+            rows = fetch(f"{self.url}&offset={offset}&length={partition.length or PAGE}").get("rows") or []
+            for item in rows:
+                yield item.get("row_idx"), json.dumps(item.get("row"), sort_keys=True)
+            offset += len(rows)
+            if partition.length is not None or not rows:
+                return
 
 
 class PagedRows(DataSource):

@@ -84,6 +84,8 @@ def format_value(value) -> str:
 
 def markdown(df: DataFrame) -> str:
     """Report table of a bounded result; floats with six digits, nulls empty, pipes escaped."""
-    rows = df.limit(MOST_REPORT_ROWS).collect()
+    rows = df.limit(MOST_REPORT_ROWS + 1).collect()
+    if len(rows) > MOST_REPORT_ROWS:
+        raise ValueError("too many rows for a report")
     head = ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
     return "\n".join(head + ["| " + " | ".join(format_value(v).replace("|", "\\|") for v in r) + " |" for r in rows]) + "\n"

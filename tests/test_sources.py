@@ -54,7 +54,8 @@ def test_run_folders_and_checkpoints(spark, tmp_path):
     for p in ("r1/train/train_log.jsonl", "r2/summary.json"):
         (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / p).write_text("{}")
-    assert [r.run_dir.rsplit("/", 1)[1] for r in files.run_folders(spark, str(tmp_path)).collect()] == ["r1", "r2"]
+    # the folder of a step log counts as well as the one above a folder called train
+    assert [r.run_dir.rsplit("/", 1)[1] for r in files.run_folders(spark, str(tmp_path)).collect()] == ["r1", "train", "r2"]
     for n in ("last", "step_100", "best", "step_50", "zz"):
         (tmp_path / f"{n}.pt").write_text("x")
     assert [r.name for r in files.checkpoints(spark, str(tmp_path)).collect()] == ["step_50", "step_100", "best", "last", "zz"]
