@@ -70,6 +70,34 @@ def first_json_object(text: pd.Series) -> pd.Series:
     return text.map(embedded_json)
 
 
+def any_json(text: str | None) -> str | None:
+    """The text as JSON if it is such as a whole but for begin and end markers, else its first JSON object; keys sorted."""
+    if text is None:
+        return None
+    try:
+        return json.dumps(json.loads(text.replace("<eos>", "").replace("<bos>", "").strip()), sort_keys=True)
+    except (ValueError, RecursionError):
+        return embedded_json(text)
+
+
+@F.pandas_udf(T.StringType())
+def json_value(text: pd.Series) -> pd.Series:
+    return text.map(any_json)
+
+
+@F.pandas_udf(T.StringType())
+def canonical_json(text: pd.Series) -> pd.Series:
+    """The text as JSON with sorted keys; null where it is none as a whole."""
+
+    def one(t):
+        try:
+            return None if t is None else json.dumps(json.loads(t), sort_keys=True)
+        except (ValueError, RecursionError):
+            return None
+
+    return text.map(one)
+
+
 @F.pandas_udf(T.StringType())
 def decode_tokens(tokens: pd.Series) -> pd.Series:
     """Text of ARRAY<STRING> tokens; runs of <0xHH> become UTF-8 text, invalid bytes a replacement sign."""

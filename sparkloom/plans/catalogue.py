@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkloom.plans import analysis, corpus, custom, ordered  # noqa: F401
+from sparkloom.plans import analysis, corpus, custom, exchange, ordered  # noqa: F401
 from sparkloom.plans.registry import ORACLE, QUERIES
 
 

@@ -78,8 +78,16 @@ def numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     first; a line's number is its place in its split after the lines of the
     splits before. Only the counts meet in a window, a row per split.
     """
-    raw = spark.read.options(recursiveFileLookup="true", pathGlobFilter=_any_case(("jsonl",))).text(_paths(paths))
-    raw = raw.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    named = [p for p in _paths(paths) if p.lower().endswith(".jsonl")]  # a file, or a table that was written under this name
+    folders = [p for p in _paths(paths) if not p.lower().endswith(".jsonl")]
+    raw = None
+    for group, options in ((named, {}), (folders, {"recursiveFileLookup": "true", "pathGlobFilter": _any_case(("jsonl",))})):
+        if group:
+            part = spark.read.options(**options).text(group).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
+            raw = part if raw is None else raw.unionByName(part)
+    if raw is None:
+        return spark.createDataFrame([], "path string, line bigint, value string")
+    raw = raw.withColumn("id", F.monotonically_increasing_id())
     splits = raw.groupBy("path", "block").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
     splits = splits.select("path", "block", "first", F.coalesce(before, F.lit(0)).alias("before"))

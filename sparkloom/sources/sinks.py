@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import os
-import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -39,18 +39,26 @@ def write_cases(df: DataFrame, path: str) -> None:
 
 def save_json(path: str, payload) -> None:
     """Atomic write on the driver: a file beside it, then a rename."""
-    folder = os.path.dirname(path) or "."
-    os.makedirs(folder, exist_ok=True)
-    fd, temporary = tempfile.mkstemp(dir=folder)
-    with os.fdopen(fd, "w", encoding="utf-8") as f:
-        json.dump(payload, f, indent=2, sort_keys=True)
-    os.replace(temporary, path)
+    files, root = _filesystem(path)
+    files.create_dir(os.path.dirname(root), recursive=True)
+    temporary = f"{root}.{uuid.uuid4().hex}"
+    with files.open_output_stream(temporary) as f:
+        f.write(json.dumps(payload, indent=2, sort_keys=True).encode())
+    files.move(temporary, root)
+
+
+def _filesystem(folder: str):
+    """(file system, path) of a folder named by a path or by any URI that Arrow knows."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder) if ":/" in folder else (fs.LocalFileSystem(), os.path.abspath(folder))
 
 
 def write_token_parts(stream: DataFrame, folder: str, parts: int) -> None:
     """Flat int32 files part-NNNNN.bin of a stream (pos, token): range-partitioned by pos, so the parts in name order are the stream.
 
-    ``folder`` must be shared by the executors.
+    ``folder`` is a path or URI that the executors share. A part is written
+    under a name of its attempt and renamed when it is whole.
     """
     ordered = stream.select(F.col("pos").cast("bigint"), F.col("token").cast("int")).repartitionByRange(parts, "pos").sortWithinPartitions("pos")
 
@@ -58,16 +66,18 @@ def write_token_parts(stream: DataFrame, folder: str, parts: int) -> None:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        n, name = 0, os.path.join(folder, f"part-{TaskContext.get().partitionId():05d}.bin")
+        files, root = _filesystem(folder)
+        n, name = 0, f"{root}/part-{TaskContext.get().partitionId():05d}.bin"
         temporary = f"{name}.{TaskContext.get().taskAttemptId()}"
-        with open(temporary, "wb") as f:
+        with files.open_output_stream(temporary) as f:
             for b in batches:
                 f.write(b.column(1).to_numpy().astype("<i4").tobytes())
                 n += b.num_rows
-        os.replace(temporary, name)
+        files.move(temporary, name)
         yield pa.RecordBatch.from_arrays([pa.array([n])], ["n"])
 
-    os.makedirs(folder, exist_ok=True)
+    files, root = _filesystem(folder)
+    files.create_dir(root, recursive=True)
     ordered.mapInArrow(write, "n bigint").collect()
 
 
@@ -76,6 +86,18 @@ def read_token_parts(folder: str) -> np.ndarray:
     return np.concatenate([np.fromfile(os.path.join(folder, n), "<i4") for n in names]) if names else np.zeros(0, np.int32)
 
 
+def write_files(df: DataFrame, folder: str) -> None:
+    """One file per row (name, text) of a bounded table, written by the driver; a name may hold folders."""
+    rows = df.select("name", "text").limit(MOST_REPORT_ROWS + 1).collect()
+    if len(rows) > MOST_REPORT_ROWS:
+        raise ValueError("too many files")
+    files, root = _filesystem(folder)
+    for name, text in rows:
+        files.create_dir(os.path.dirname(f"{root}/{name}"), recursive=True)
+        with files.open_output_stream(f"{root}/{name}") as f:
+            f.write((text or "").encode())
+
+
 def format_value(value) -> str:
     if value is None:
         return ""
