@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.functions.text import first_text, stable_hash, strip
+from sparkloom.functions.text import BLANKS, first_text, stable_hash, strip
 
 #: Role names of sources and the canonical ones.
 USER_ROLES = ("user", "prompter", "human")
@@ -56,6 +56,24 @@ def segments() -> Column:
     return F.concat(one("system", F.col("system")), one("repo_context", F.col("repo_context")), messages, steps, one("final", F.col("final")))
 
 
+def loss_pieces() -> Column:
+    """ARRAY<STRUCT<body, own>> of a record as it is rendered for training: roles as they stand, blank contents kept; a plain record is one owned piece.
+
+    Owned are assistant messages, tool calls, patches, other steps and the
+    final answer; not owned are system, context, other messages, tool results
+    and test output. A null content counts as empty.
+    """
+    body = lambda tag, c: F.concat(F.lit("<|"), tag, F.lit("|>\n"), F.coalesce(c, F.lit("")), F.lit("\n"))
+    piece = lambda b, own: F.struct(b.alias("body"), own.alias("own"))
+    none = F.array().cast("array<struct<body:string,own:boolean>>")
+    one = lambda tag, c, own: F.when(F.coalesce(c, F.lit("")) != "", F.array(piece(body(F.lit(tag), c), F.lit(own)))).otherwise(none)
+    role = lambda m: F.coalesce(m["role"], F.lit("user"))
+    messages = F.transform(F.filter(F.coalesce("messages", F.array().cast("array<struct<role:string,content:string>>")), lambda m: m.isNotNull()), lambda m: piece(body(role(m), m["content"]), role(m) == "assistant"))
+    steps = F.transform(F.filter(F.coalesce("trace", F.array().cast("array<struct<type:string,content:string>>")), lambda t: t.isNotNull()), lambda t: piece(body(step_tag(t["type"]), t["content"]), ~F.coalesce(t["type"].isin("tool_result", "test_output"), F.lit(False))))
+    whole = F.concat(one("system", F.col("system"), False), one("repo_context", F.col("repo_context"), False), messages, steps, one("final", F.col("final"), True))
+    return F.when(F.col("text").isNotNull(), F.array(piece(F.regexp_replace("text", f"^{BLANKS}+", ""), F.lit(True)))).otherwise(whole)
+
+
 def _none() -> Column:
     return F.array().cast("array<struct<tag:string,body:string>>")
 

@@ -125,3 +125,11 @@ def stable_run_id(source: Column, prefix: str) -> Column:
     """prefix, slug of the last path part and a digest of the whole path."""
     slug = F.substring(F.regexp_replace(F.regexp_replace(F.lower(F.element_at(F.split(source, "/"), -1)), r"[^\p{L}\p{N}]+", "-"), "^-+|-+$", ""), 1, 60)
     return F.concat(F.lit(f"{prefix}-"), slug, F.lit("-"), F.substring(F.sha1(source.cast("binary")), 1, 12))
+
+
+def infer_model_name(path: Column, params: Column) -> Column:
+    """A stated name, else the kind of model that the last part of the path names, else unknown."""
+    name = F.lower(F.element_at(F.split(path, "/"), -1))
+    stated = F.coalesce(*[F.nullif(F.try_element_at(params, F.lit(k)), F.lit("")) for k in ("model_name", "manifest.model_name")])
+    guess = F.when(F.contains(name, F.lit("transformer")), "transformer").when(F.contains(name, F.lit("mamba")), "pure_mamba_like").when(F.contains(name, F.lit("raam")), "raam").otherwise("unknown")
+    return F.coalesce(stated, guess)

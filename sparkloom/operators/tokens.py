@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.functions.text import BLANKS
+
 #: The lexer's alternation, in order. Every character belongs to a token.
 LEXER = (
     r"(?s)<\|[a-zA-Z0-9_]+\|>|[A-Za-z_][A-Za-z0-9_]*|[0-9]+\.[0-9]+|[0-9]+|==|!=|<=|>=|->|=>|::|//|/\*|\*/|\.\.\.|```|@@|---|\+\+\+"
@@ -105,3 +107,32 @@ def ownership(segments: Column, owned: tuple[str, ...]) -> Column:
     return F.struct(
         F.aggregate(sizes, zero, lambda a, s: a + s["n"]).alias("total"), F.aggregate(sizes, zero, lambda a, s: a + F.when(s["own"], s["n"]).otherwise(F.lit(0))).alias("owned")
     )
+
+
+def loss_mask(pieces: Column) -> Column:
+    """ARRAY<STRUCT<token, own>>: every token of a rendering with whether the model is scored on it.
+
+    ``pieces`` are ARRAY<STRUCT<body, own>> in rendering order; they are joined
+    by a newline, blanks at the end are cut and one newline closes the text. A
+    token is owned if any of its characters is. A piece begins with its tag and
+    ends in a newline, so no token but the white space behind a piece meets the
+    next one, and that white space is the piece's own as far as it reaches.
+    """
+    n = F.size(pieces)
+
+    def spell(p: Column, i: Column) -> Column:
+        text = F.when(i < n - 1, F.concat(p["body"], F.lit("\n"))).otherwise(F.concat(F.regexp_replace(p["body"], f"{BLANKS}+$", ""), F.lit("\n")))
+        return F.transform(lex(text), lambda t: F.struct(t.alias("token"), p["own"].alias("own")))
+
+    return F.flatten(F.transform(pieces, spell))
+
+
+def masked_ids(df: DataFrame, key: str, masked: str, vocab: DataFrame, vocab_rows: int | None = None) -> DataFrame:
+    """(key, pos, ids, own) of every token of ``masked``; all bytes of an unknown token share its mask."""
+    flat = df.select(key, F.posexplode(masked).alias("pos", "m")).select(key, "pos", "m.token", "m.own")
+    return encode(flat, vocab, vocab_rows).select(key, "pos", "ids", "own")
+
+
+def suppressed_ids(vocab: DataFrame) -> DataFrame:
+    """(token, id) of the special tokens that are never sampled inside a text: all but the end."""
+    return vocab.filter(F.col("token").isin(*[t for t in SPECIALS if t != "<eos>"])).select("token", "id")

@@ -43,6 +43,12 @@ class Tracker:
     def finish(self, run_id: str, status: str, ended_at=None) -> None:
         self._state(run_id, status, None, None, ended_at)
 
+    def add_states(self, states: DataFrame) -> None:
+        """Appends states of many runs at once: (run_id, status, started_at, ended_at, params); ``at``, where given, orders them."""
+        at = F.col("at") if "at" in states.columns else F.current_timestamp()
+        rows = states.select("run_id", "status", F.col("started_at").cast("timestamp"), F.col("ended_at").cast("timestamp"), F.col("params").cast("map<string,string>"), at.cast("timestamp").alias("at"))
+        rows.write.mode("append").parquet(f"{self.root}/states")
+
     def add_metrics(self, metrics: DataFrame) -> None:
         """Appends (run_id, step, metric, value)."""
         self._append("metrics", metrics.select("run_id", F.col("step").cast("bigint"), "metric", F.col("value").cast("double")))
