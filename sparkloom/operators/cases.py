@@ -150,8 +150,8 @@ def value_sequence(c: Column, opening: str = "<value>", closing: str = "</value>
 
     def value(x: Column) -> Column:
         v = strip(F.regexp_replace(x, r"^[^=]*=", ""))
-        v = F.when(v.startswith(opening), F.substr(v, F.lit(len(opening) + 1))).otherwise(v)
-        return strip(F.when(v.endswith(closing), F.substr(v, F.lit(1), F.length(v) - len(closing))).otherwise(v))
+        inner = F.substr(v, F.lit(len(opening) + 1), F.greatest(F.lit(0), F.length(v) - len(opening) - len(closing)))
+        return F.when(v.startswith(opening) & v.endswith(closing), strip(inner)).otherwise(v)
 
     return F.filter(F.transform(_lines(c), value), lambda v: v != "")
 

@@ -123,9 +123,10 @@ def key_follow(
 
 def by_token(df: DataFrame, seq: str, ids: str, weights: str) -> DataFrame:
     """(seq, t, token, p): each position's weights added up by the token they fall on."""
-    rows = df.select(seq, ids, F.posexplode(weights).alias("t", "row"))
-    pairs = rows.select(seq, "t", F.explode(F.filter(F.arrays_zip(F.col(ids).alias("token"), F.col("row").alias("p")), lambda x: x["p"] > 0)).alias("x"))
-    return pairs.groupBy(seq, "t", F.col("x.token").alias("token")).agg(F.sum("x.p").alias("p"))
+    # outer: of a plain explode the optimizer infers that the weights are not empty, and works them out anew in the scan
+    rows = df.select(seq, ids, F.posexplode_outer(weights).alias("t", "row"))
+    pairs = rows.select(seq, "t", F.explode_outer(F.filter(F.arrays_zip(F.col(ids).alias("token"), F.col("row").alias("p")), lambda x: x["p"] > 0)).alias("x"))
+    return pairs.filter("x IS NOT NULL").groupBy(seq, "t", F.col("x.token").alias("token")).agg(F.sum("x.p").alias("p"))
 
 
 def log_mix(a: Column, b: Column, share: Column) -> Column:
