@@ -35,14 +35,22 @@ def decoys(specs: DataFrame, key: str, count: int, seed: int) -> DataFrame:
     return asked.join(ring.select(F.col("name").alias("decoy"), F.col("r").alias("at")), "at").select("target", "decoy", F.col("j").cast("bigint").alias("j"))
 
 
+def text_key(column: Column) -> Column:
+    """SHA-256 of a text, which stands for it in joins and distinct counts; null for null."""
+    return F.unhex(F.sha2(column.cast("binary"), 256))
+
+
 def overlap(train: DataFrame, held_out: DataFrame, column: str) -> DataFrame:
-    """Distinct values of column on both sides. Hashes are joined, then the texts they stand for."""
-    return train.select(column).filter(F.col(column).isNotNull()).distinct().join(held_out.select(column).distinct(), column, "left_semi")
+    """Distinct values of column on both sides. Only hashes of the training texts are shuffled; the texts come from the held-out side."""
+    keys = train.select(text_key(F.col(column)).alias("__key")).filter("__key IS NOT NULL").distinct()
+    held = held_out.select(column, text_key(F.col(column)).alias("__key")).filter("__key IS NOT NULL").dropDuplicates(["__key"])
+    return held.join(keys, "__key", "left_semi").select(column)
 
 
 def disjoint(train: DataFrame, held_out: DataFrame, column: str) -> DataFrame:
-    """Rows of train whose value is not held out; a null value is held out by nothing."""
-    return train.join(held_out.select(column).filter(F.col(column).isNotNull()).distinct(), column, "left_anti")
+    """Rows of train whose value is not held out; a null value is held out by nothing. Joined on hashes."""
+    keys = held_out.select(text_key(F.col(column)).alias("__key")).filter("__key IS NOT NULL").distinct()
+    return train.withColumn("__key", text_key(F.col(column))).join(keys, "__key", "left_anti").drop("__key")
 
 
 def behavior_in(behaviors: list[str], column: Column) -> Column:

@@ -34,15 +34,38 @@ def summarize_runs(log: DataFrame, loss: str, validation: str, run: str = "run_i
     )
 
 
+#: Steps of a chunk of a run: what a window orders at a time, however long the run is.
+CHUNK_STEPS = 10_000
+
+
+def _chunked(log: DataFrame, step: str) -> DataFrame:
+    return log.withColumn("__chunk", F.floor(F.col(step) / CHUNK_STEPS))
+
+
+def _before_chunks(log: DataFrame, run: str, **sums) -> DataFrame:
+    """Per run and chunk each aggregate over all chunks before it: name=(aggregate, running); a row per chunk."""
+    per = log.groupBy(run, "__chunk").agg(*[a.alias(n) for n, (a, _) in sums.items()])
+    w = Window.partitionBy(run).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    return per.select(run, "__chunk", *[running(n).over(w).alias(n) for n, (_, running) in sums.items()])
+
+
 def progress(log: DataFrame, value: str, run: str = "run_id", step: str = "global_step") -> DataFrame:
-    """Validation rows with the running best, whether they improve it strictly, and the streak of rows since they last did."""
-    w = Window.partitionBy(run).orderBy(step)
-    v = log.filter(F.col(value).isNotNull()).select(run, step, F.col(value).alias("value"))
-    v = v.withColumn("before", F.min("value").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    """Validation rows with the running best, whether they improve it strictly, and the streak of rows since they last did.
+
+    A run is ordered chunk by chunk of CHUNK_STEPS; a chunk takes the best and
+    the number of rows of those before it from a row per chunk.
+    """
+    v = _chunked(log.filter(F.col(value).isNotNull()).select(run, step, F.col(value).alias("value")), step)
+    w = Window.partitionBy(run, "__chunk").orderBy(step)
+    earlier = _before_chunks(v, run, __best=(F.min("value"), F.min), __rows=(F.count(F.lit(1)), F.sum))
+    v = v.join(earlier, [run, "__chunk"])
+    v = v.withColumn("before", F.least(F.min("value").over(w.rowsBetween(Window.unboundedPreceding, -1)), "__best"))
     v = v.withColumn("improved", F.col("before").isNull() | (F.col("value") < F.col("before")))
-    v = v.withColumn("island", F.count_if("improved").over(w))
-    streak = F.row_number().over(Window.partitionBy(run, "island").orderBy(step)) - 1
-    return v.select(run, step, "value", F.least("value", "before").alias("best"), "improved", streak.cast("bigint").alias("streak"))
+    v = v.withColumn("__at", F.coalesce("__rows", F.lit(0)) + F.row_number().over(w))
+    hit = F.when(F.col("improved"), F.col("__at"))
+    last = _before_chunks(v.select(run, "__chunk", hit.alias("h")), run, __hit=(F.max("h"), F.max))
+    v = v.join(last, [run, "__chunk"]).withColumn("__last", F.coalesce(F.max(hit).over(w), "__hit"))
+    return v.select(run, step, "value", F.least("value", "before").alias("best"), "improved", (F.col("__at") - F.col("__last")).cast("bigint").alias("streak"))
 
 
 def early_stop(log: DataFrame, value: str, *, min_delta: float, patience: int, factor: float = 0.5, run: str = "run_id", step: str = "global_step") -> DataFrame:
@@ -68,17 +91,40 @@ def early_stop(log: DataFrame, value: str, *, min_delta: float, patience: int, f
 
 
 def carry_forward(log: DataFrame, value: str, name: str, run: str = "run_id", step: str = "global_step") -> DataFrame:
-    return log.withColumn(name, F.last(value, ignorenulls=True).over(Window.partitionBy(run).orderBy(step)))
+    """log with the last value known at each step; a run is ordered chunk by chunk, and a chunk begins with the last value before it."""
+    c = _chunked(log, step)
+    known = F.max(F.when(F.col(value).isNotNull(), F.struct(F.col(step).alias("s"), F.col(value).alias("v"))))
+    earlier = _before_chunks(c, run, __known=(known, F.max))
+    own = F.last(value, ignorenulls=True).over(Window.partitionBy(run, "__chunk").orderBy(step))
+    return c.join(earlier, [run, "__chunk"]).withColumn(name, F.coalesce(own, F.col("__known.v"))).drop("__chunk", "__known")
+
+
+#: Ranges a group's values are cut into by approximate quantiles before the exact rank is looked for in one of them.
+RANK_RANGES = 64
 
 
-def nearest_rank(value: Column, share: float) -> Column:
-    """Aggregate: value at the half-even rounded index share * (n - 1) of the sorted values, without interpolation.
+def nearest_ranks(df: DataFrame, group: str, value: str, share: float, name: str) -> DataFrame:
+    """(group, name): the value at the half-even rounded index share * (n - 1) of each group's sorted values, without interpolation.
 
-    percentile_disc would need no array but rounds its index otherwise, so the
-    values of a group are sorted; groups are single runs.
+    Approximate quantiles cut a group into ranges. The ranges are counted, and
+    only the one that holds the rank is sorted, so no group is ever collected
+    or ordered as a whole; a range of one value needs no sorting. Nulls are left out.
     """
-    sorted_ = F.sort_array(F.collect_list(value))
-    return F.try_element_at(sorted_, (F.bround(F.lit(share) * (F.size(sorted_) - 1)) + 1).cast("int"))
+    t = df.filter(F.col(value).isNotNull()).select(group, F.col(value).alias("__x"))
+    cuts = [i / RANK_RANGES for i in range(1, RANK_RANGES)]
+    bounds = t.groupBy(group).agg(F.count(F.lit(1)).alias("__n"), F.percentile_approx("__x", cuts, 10_000).alias("__cuts"))
+    # two compared with each cut: values equal to a cut make a range of their own
+    at = F.aggregate("__cuts", F.lit(0), lambda a, c: a + F.when(F.col("__x") > c, 2).when(F.col("__x") == c, 1).otherwise(0))
+    ranged = t.join(bounds, group).select(group, "__x", "__n", at.alias("__range"))
+    sizes = ranged.groupBy(group, "__range").agg(F.count(F.lit(1)).alias("__c"), F.min("__x").alias("__low"), F.max("__x").alias("__high"), F.max("__n").alias("__n"))
+    w = Window.partitionBy(group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    rank = F.bround(F.lit(share) * (F.col("__n") - 1)).cast("bigint")
+    sizes = sizes.withColumn("__before", F.coalesce(F.sum("__c").over(w), F.lit(0))).withColumn("__rank", rank - F.col("__before"))
+    held = sizes.filter("__rank >= 0 AND __rank < __c")
+    flat = held.filter("__low = __high").select(group, F.col("__low").alias(name))
+    inside = ranged.select(group, "__range", "__x").join(held.filter("__low < __high").select(group, "__range", "__rank"), [group, "__range"])
+    inside = inside.withColumn("__rn", F.row_number().over(Window.partitionBy(group).orderBy("__x")) - 1).filter("__rn = __rank")
+    return flat.unionByName(inside.select(group, F.col("__x").alias(name)))
 
 
 def group_stats(df: DataFrame, group: str, value: str, flag: str) -> DataFrame:

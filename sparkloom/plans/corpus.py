@@ -10,6 +10,7 @@ from sparkloom.functions.text import first_text, order_hash, stable_hash
 from sparkloom.operators import curriculum, ranking, records, streams, tokens
 from sparkloom.plans.registry import query
 from sparkloom.plans.rules import RENDERED, RESULTS, ROLE, TOK, TOKENS, label, language
+from sparkloom.session import cut_lineage
 from sparkloom.tables import load, spread
 
 SEED = 17
@@ -120,7 +121,7 @@ SELECT record_id, u.p::BIGINT AS user_pos, pos::BIGINT AS assistant_pos, substr(
  (SELECT *, last_value(CASE WHEN role = 'user' THEN {{'p': pos, 't': text}} END IGNORE NULLS) OVER (PARTITION BY record_id ORDER BY pos) AS u FROM ({_TURNS})) WHERE role = 'assistant' AND u IS NOT NULL""")
 def q10(s, d):
     """Each assistant turn with the latest user turn before it."""
-    one = _slice(s, d).filter("messages IS NOT NULL").groupBy("record_id").agg(F.first("messages").alias("messages"))
+    one = _slice(s, d).filter("messages IS NOT NULL").groupBy("record_id").agg(F.min("messages").alias("messages"))  # the least of deliveries that differ
     turns = one.select("record_id", F.posexplode("messages").alias("pos", "m")).select("record_id", "pos", "m.role", F.col("m.content").alias("text"))
     p = records.reply_pairs(turns, "record_id", "pos")
     return p.select("record_id", big("user_pos").alias("user_pos"), big("assistant_pos").alias("assistant_pos"), stable_hash(F.col("user_text")).alias("prompt"), stable_hash(F.col("assistant_text")).alias("answer"))
@@ -188,9 +189,11 @@ _CODED = f"""SELECT t.doc_id, t.token, t.pos, v.id, CASE WHEN v.id IS NOT NULL T
 @query("q16", f"SELECT doc_id, sum(n_ids)::BIGINT AS n_ids, sum(id_sum)::BIGINT AS id_sum, count(*) FILTER (WHERE id IS NULL)::BIGINT AS unknown FROM ({_CODED}) GROUP BY 1")
 def q16(s, d):
     """Encoded length, sum of ids and unknown tokens per document, with byte fallback."""
-    coded = tokens.encode(tokens.tokens(_texts(s, d), "doc_id", "text"), tokens.with_specials(vocabulary(s, d)), VOCAB)
+    counts = cut_lineage(tokens.counts(_texts(s, d), "doc_id", "text"))
+    vocab = tokens.with_specials(tokens.vocabulary(tokens.total(counts, "doc_id"), VOCAB))
+    coded = tokens.encode(counts, vocab, VOCAB)
     return coded.groupBy("doc_id").agg(
-        big(F.sum(F.size("ids"))).alias("n_ids"), big(F.sum(F.aggregate("ids", F.lit(0).cast("bigint"), lambda a, x: a + x))).alias("id_sum"), F.count_if(F.col("id").isNull()).alias("unknown")
+        big(F.sum(F.col("n") * F.size("ids"))).alias("n_ids"), big(F.sum(F.col("n") * F.aggregate("ids", F.lit(0).cast("bigint"), lambda a, x: a + x))).alias("id_sum"), big(F.coalesce(F.sum(F.when(F.col("id").isNull(), F.col("n"))), F.lit(0))).alias("unknown")
     )
 
 
@@ -210,8 +213,10 @@ SELECT {language('lang')} AS language, count(*)::BIGINT AS n_tokens, round(avg(C
  FROM ({TOK}) t JOIN documents USING (doc_id) LEFT JOIN ({_VOCAB}) v USING (token) GROUP BY 1""")
 def q18(s, d):
     """Share of tokens outside the learned vocabulary, by language."""
-    t = _texts(s, d).select("lang", F.explode(tokens.lex(F.col("text"))).alias("token"))
-    per = t.groupBy("lang", "token").agg(F.count(F.lit(1)).alias("n")).join(tokens.lookup(vocabulary(s, d), VOCAB), "token", "left")
+    lexed = _texts(s, d).select("lang", "doc_id", F.posexplode(tokens.lex(F.col("text"))).alias("pos", "token"))
+    per = cut_lineage(lexed.groupBy("lang", "token").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "pos")).alias("first")))
+    freq = per.groupBy("token").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    per = per.join(tokens.lookup(tokens.vocabulary(freq, VOCAB), VOCAB), "token", "left")
     return per.groupBy(clean_language(F.col("lang")).alias("language")).agg(F.sum("n").alias("n_tokens"), F.round(F.sum(F.when(F.col("id").isNull(), F.col("n")).otherwise(0)) / F.sum("n"), 6).alias("unknown_rate"))
 
 
@@ -322,9 +327,11 @@ WITH p AS (SELECT DISTINCT text FROM (SELECT unnest(messages).content AS text FR
 SELECT (SELECT count(*) FROM p)::BIGINT AS n_train, (SELECT count(*) FROM p WHERE text IN (SELECT text FROM benchmark))::BIGINT AS n_overlap, (SELECT count(*) FROM p WHERE text NOT IN (SELECT text FROM benchmark))::BIGINT AS n_clean""")
 def q29(s, d):
     """Training texts that equal a held-out text exactly, and those that don't."""
-    p = _slice(s, d).select(F.explode("messages.content").alias("text")).unionByName(_docs(s, d).select("text")).filter("text IS NOT NULL").distinct()
-    b = load(s, d, "benchmark").select("text").distinct().withColumn("held", F.lit(True))
-    return p.join(b, "text", "left").agg(F.count(F.lit(1)).alias("n_train"), F.count_if("held").alias("n_overlap"), F.count_if(F.col("held").isNull()).alias("n_clean"))
+    key = lambda c: curriculum.text_key(F.col(c)).alias("key")
+    texts = _slice(s, d).select(F.explode("messages.content").alias("text")).unionByName(_docs(s, d).select("text"))
+    p = texts.select(key("text")).filter("key IS NOT NULL").distinct()
+    b = load(s, d, "benchmark").select(key("text")).filter("key IS NOT NULL").distinct().withColumn("held", F.lit(True))
+    return p.join(b, "key", "left").agg(F.count(F.lit(1)).alias("n_train"), F.count_if("held").alias("n_overlap"), F.count_if(F.col("held").isNull()).alias("n_clean"))
 
 
 @query("q30", "SELECT DISTINCT substr(sha256(text), 1, 16) AS hash FROM benchmark WHERE text <> '' ORDER BY 1")
@@ -344,10 +351,11 @@ def q31(s, d):
 @query("q32", "SELECT n_name, r_name, ['copy', 'lookup', 'patch'][((n_nationkey + length(r_name)) % 3 + 1)::BIGINT] AS pattern FROM nation CROSS JOIN region")
 def q32(s, d):
     """Every noun with every verb and a pattern chosen by their places; both are generator tables of fixed size."""
-    r = load(s, d, "region").select("r_regionkey", "r_name")
-    n = load(s, d, "nation").select("n_nationkey", "n_name", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("r_regionkey"))
+    # both tables are of fixed size; one row of names is joined to each noun and taken apart
+    r = load(s, d, "region").agg(F.collect_list("r_name").alias("names"))
+    n = load(s, d, "nation").select("n_nationkey", "n_name", F.lit(1).alias("one")).join(F.broadcast(r.withColumn("one", F.lit(1))), "one").select("n_nationkey", "n_name", F.explode("names").alias("r_name"))
     pattern = F.element_at(F.array(*map(F.lit, ["copy", "lookup", "patch"])), (F.col("n_nationkey") + F.length("r_name")) % 3 + 1)
-    return n.join(r, "r_regionkey").select("n_name", "r_name", pattern.alias("pattern"))
+    return n.select("n_name", "r_name", pattern.alias("pattern"))
 
 
 @query("q33", """

@@ -1,4 +1,4 @@
-"""Queries without an SQL twin: Python functions and streams."""
+"""Streams, folds and Python functions."""
 
 from __future__ import annotations
 
@@ -11,39 +11,49 @@ from sparkloom.functions.text import extract_fenced
 from sparkloom.operators import runlog, tokens
 from sparkloom.plans.corpus import VOCAB, vocabulary
 from sparkloom.plans.registry import query
+from sparkloom.plans.rules import LOG
 from sparkloom.session import new_folder
 from sparkloom.streaming import logs
 from sparkloom.tables import load, spread
 
 
-@query("st01")
+_FOLD = """
+WITH RECURSIVE v AS (SELECT run_id, s, v, row_number() OVER (PARTITION BY run_id ORDER BY s) AS rn FROM ({rows})),
+ f AS (SELECT DISTINCT run_id, 0::BIGINT AS rn, 'Infinity'::DOUBLE AS best, 0::BIGINT AS streak, 1.0::DOUBLE AS scale, {never}::BIGINT AS stop FROM v UNION ALL
+ SELECT f.run_id, v.rn, CASE WHEN {stopped} THEN best ELSE least(best, v.v) END, CASE WHEN {stopped} THEN streak WHEN v.v < best - 0.01 THEN 0 ELSE streak + 1 END,
+ CASE WHEN NOT ({stopped}) AND v.v >= best - 0.01 AND streak + 1 >= 3 THEN scale * 0.5 ELSE scale END, CASE WHEN NOT ({stopped}) AND v.v >= best - 0.01 AND streak + 1 >= 3 THEN v.s ELSE stop END FROM f JOIN v ON v.run_id = f.run_id AND v.rn = f.rn + 1)
+SELECT run_id, round(best, 9) AS best, streak, scale, stop FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY rn DESC) AS k FROM f) WHERE k = 1"""
+
+
+@query("st01", """
+SELECT strftime(logged_at, '%Y-%m-%d') AS day, run_id, count(*)::BIGINT AS n, max(global_step) AS last_step, round(min(train_loss), 9) AS best_loss FROM train_log WHERE run_id IS NOT NULL AND logged_at IS NOT NULL AND coalesce(train_loss::VARCHAR <> 'nan', TRUE) GROUP BY 1, 2""")
 def st01(s, d):
     """Log rows tailed as a stream and aggregated per run and day."""
     folder = new_folder(s, "stream")
     schema = load(s, d, "train_log").schema
     logs.drain(logs.live_summary(logs.tail(s, _folder(d), schema, "parquet")), folder, "update", keep="day")
     out = s.read.parquet(folder).groupBy("day", "run_id").agg(F.max_by(F.struct("n", "last_step", "best_loss"), "__batch").alias("r"))
-    return out.select("day.start", "run_id", "r.*")
+    return out.select(F.date_format("day.start", "yyyy-MM-dd").alias("day"), "run_id", "r.n", "r.last_step", F.round("r.best_loss", 9).alias("best_loss"))
 
 
 def _folder(d: str) -> str:
     return f"{d}/train_log.parquet" if os.path.isdir(f"{d}/train_log.parquet") else f"{d}/train_log*.parquet"
 
 
-@query("st02")
+@query("st02", _FOLD.format(never="-1", stopped="stop >= 0", rows="SELECT run_id, global_step AS s, min(val_next_token_loss) AS v FROM train_log WHERE run_id IS NOT NULL AND global_step IS NOT NULL AND val_next_token_loss::VARCHAR <> 'nan' GROUP BY 1, 2"))
 def st02(s, d):
     """Early stop of every run, folded over a stream; equal to the batch fold of u00."""
     folder = new_folder(s, "stream")
     log = logs.tail(s, _folder(d), load(s, d, "train_log").schema, "parquet")
     logs.drain(logs.early_stop(log, min_delta=0.01, patience=3), folder, "update", keep="run_id")
     out = s.read.parquet(folder).groupBy("run_id").agg(F.max_by(F.struct("best", "streak", "scale", "stop"), "__batch").alias("r"))
-    return out.select("run_id", "r.*")
+    return out.select("run_id", F.round("r.best", 9).alias("best"), "r.streak", "r.scale", "r.stop")
 
 
-@query("u00")
+@query("u00", _FOLD.format(never="NULL", stopped="stop IS NOT NULL", rows=f"SELECT run_id, global_step AS s, val_next_token_loss AS v FROM ({LOG}) WHERE val_next_token_loss IS NOT NULL"))
 def u00(s, d):
     """Batch twin of st02."""
-    return runlog.early_stop(runlog.clean_log(load(s, d, "train_log")), "val_next_token_loss", min_delta=0.01, patience=3)
+    return runlog.early_stop(runlog.clean_log(load(s, d, "train_log")), "val_next_token_loss", min_delta=0.01, patience=3).withColumn("best", F.round("best", 9))
 
 
 @query("u01")
@@ -57,7 +67,7 @@ def u01(s, d):
 def u02(s, d):
     """Unified diff between a record's context and its fenced answer."""
     t = load(s, d, "agentcoder_slice_train").select("record_id", extract_fenced(F.col("repo_context")).alias("old"), extract_fenced(F.array_join("trace.content", "\n")).alias("new"))
-    t = t.filter("old IS NOT NULL AND new IS NOT NULL").dropDuplicates(["record_id"])
+    t = t.filter("old IS NOT NULL AND new IS NOT NULL").groupBy("record_id").agg(F.min(F.struct("old", "new")).alias("r")).select("record_id", "r.old", "r.new")  # the least of deliveries that differ
     return t.select("record_id", F.array_join(u.unified_diff(F.lit("file.py"), "old", "new"), "\n").alias("diff"))
 
 
@@ -67,7 +77,7 @@ def u03(s, d):
     return load(s, d, "documents").select("doc_id", u.first_json_object("text").alias("json")).filter("json IS NOT NULL")
 
 
-@query("u04")
+@query("u04", "SELECT doc_id, TRUE AS same FROM documents WHERE text IS NOT NULL")
 def u04(s, d):
     """Documents whose decoded ids spell the text again."""
     docs, vocab = spread(load(s, d, "documents").select("doc_id", "text").filter("text IS NOT NULL")), tokens.with_specials(vocabulary(s, d))
@@ -76,8 +86,10 @@ def u04(s, d):
     return t.select("doc_id", (F.coalesce("decoded", F.lit("")) == F.col("text")).alias("same"))
 
 
-@query("u05")
+@query("u05", "SELECT n_nationkey, n_nationkey % 2 = 0 AS passed FROM nation")
 def u05(s, d):
-    """Tests run on fenced code: switched off here, so every result is null."""
-    t = load(s, d, "documents").select("doc_id", extract_fenced(F.col("text")).alias("code")).filter("code IS NOT NULL")
-    return t.select("doc_id", u.test_runner(enabled=False)("code", F.lit("")).alias("passed"))
+    """Tests run on functions made here, one in two of them wrong; the runner is off unless it is asked for."""
+    n = F.col("n_nationkey").cast("string")
+    code = F.concat(F.lit("def f(x):\n    return x + "), n)
+    tests = F.concat(F.lit("assert f(1) == 1 + "), n, F.when(F.col("n_nationkey") % 2 == 0, "").otherwise(" + 1"))
+    return load(s, d, "nation").select("n_nationkey", u.test_runner(enabled=True)(code, tests).alias("passed"))

@@ -85,15 +85,22 @@ SELECT doc_id, max(segment)::BIGINT AS last_segment, sum(last_boundary)::BIGINT
  coalesce(sum(CASE WHEN contains(token, chr(10)) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS segment FROM ({TOK})) GROUP BY 1""")
 def q63(s, d):
     """Running boundary and segments between line breaks, per document."""
-    t = sequences.boundaries(tokens.tokens(spread(load(s, d, "documents").select("doc_id", "text")), "doc_id", "text"), "doc_id", F.contains("token", F.lit("\n")))
+    # what a token is has been told before the shuffle, so only flags travel
+    flags = tokens.tokens(spread(load(s, d, "documents").select("doc_id", "text")), "doc_id", "text").select("doc_id", "pos", F.contains("token", F.lit("\n")).alias("b"))
+    t = sequences.boundaries(flags, "doc_id", F.col("b"))
     return t.groupBy("doc_id").agg(big(F.max("segment")).alias("last_segment"), big(F.sum("last_boundary")).alias("boundary_sum"))
 
 
+def _codes(s, d):
+    """(doc_id, pos, token) with a token's 64-bit code for its text; within a document these tell tokens apart and travel lighter."""
+    return tokens.tokens(spread(load(s, d, "documents").select("doc_id", "text")), "doc_id", "text").select("doc_id", "pos", F.xxhash64("token").alias("token"))
+
+
 @query("q64", f"""
 SELECT doc_id, sum(m)::BIGINT AS matches, round(sum(CASE WHEN pos > 0 THEN m / pos::DOUBLE ELSE 0 END), 6) AS weight, max(m)::BIGINT AS most FROM (SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id, token ORDER BY pos) - 1 AS m FROM ({TOK})) GROUP BY 1""")
 def q64(s, d):
     """Causal token matches of each document and the weight they receive."""
-    t = sequences.causal_matches(tokens.tokens(spread(load(s, d, "documents").select("doc_id", "text")), "doc_id", "text"), "doc_id")
+    t = sequences.causal_matches(_codes(s, d), "doc_id")
     return t.groupBy("doc_id").agg(F.sum("matches").alias("matches"), r6(F.sum("p")).alias("weight"), F.max("matches").alias("most"))
 
 
@@ -104,7 +111,7 @@ WITH n AS (SELECT doc_id, pos, token, lead(token) OVER (PARTITION BY doc_id ORDE
 SELECT doc_id, count(predicted)::BIGINT AS predictions, count(*) FILTER (WHERE predicted = next)::BIGINT AS hits FROM g GROUP BY 1""")
 def q65(s, d):
     """Key-follow: what came after the last equal token, with a gap and an occurrence limit, against what comes next."""
-    t = sequences.key_follow(tokens.tokens(spread(load(s, d, "documents").select("doc_id", "text")), "doc_id", "text"), "doc_id", least_gap=2, most_occurrences=8)
+    t = sequences.key_follow(_codes(s, d), "doc_id", least_gap=2, most_occurrences=8)
     return t.groupBy("doc_id").agg(F.count("predicted").alias("predictions"), F.count_if(F.col("predicted") == F.col("next")).alias("hits"))
 
 

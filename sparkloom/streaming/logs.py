@@ -17,10 +17,18 @@ def tail(spark: SparkSession, folder: str, schema: str = LOG, fmt: str = "json",
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).format(fmt).load(folder)
 
 
-def live_summary(log: DataFrame, delay: str = "7 days") -> DataFrame:
-    """Steps and best losses per run and day of logging; rows later than delay are left out of a closed day."""
+def live_summary(log: DataFrame, delay: str | None = None) -> DataFrame:
+    """Steps and best losses per run and day of logging.
+
+    Without a delay every late row counts, whatever batch it comes in; days are
+    kept as state and rewritten in update mode. With one, state of older days
+    is dropped and rows later than that are left out, so that state stays
+    bounded in a query that never ends.
+    """
     log = log.filter("run_id IS NOT NULL AND NOT isnan(train_loss)").withColumn("logged_at", F.col("logged_at").cast("timestamp"))
-    return log.withWatermark("logged_at", delay).groupBy(F.window("logged_at", "1 day").alias("day"), "run_id").agg(
+    if delay:
+        log = log.withWatermark("logged_at", delay)
+    return log.groupBy(F.window("logged_at", "1 day").alias("day"), "run_id").agg(
         F.count(F.lit(1)).alias("n"), F.max("global_step").alias("last_step"), F.min("train_loss").alias("best_loss")
     )
 

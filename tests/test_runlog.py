@@ -1,3 +1,5 @@
+import random
+import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions import schedules
@@ -30,8 +32,35 @@ def test_clean_log_keeps_latest_and_drops_nan(spark):
 
 
 def test_nearest_rank_rounds_half_even(spark):
-    t = spark.createDataFrame([(float(i),) for i in range(1, 12)], "v double")  # 0.95 * 10 = 9.5 -> 10
-    assert t.agg(runlog.nearest_rank(F.col("v"), 0.95)).collect()[0][0] == 11.0
+    r = random.Random(2)
+    rows = [("a", float(i)) for i in range(1, 12)]  # 0.95 * 10 = 9.5 -> 10
+    rows += [("b", r.random()) for _ in range(3000)] + [("c", float(r.randint(0, 2))) for _ in range(500)] + [("d", 7.0)] * 300 + [("e", None), ("f", 1.0)]
+    t = spark.createDataFrame(rows, "g string, v double")
+    got = {x.g: x.p for x in runlog.nearest_ranks(t, "g", "v", 0.95, "p").collect()}
+    by = {}
+    for g, v in rows:
+        by.setdefault(g, []).append(v)
+    assert got == {g: sorted(vs)[round(0.95 * (len(vs) - 1))] for g, vs in by.items() if vs[0] is not None}
+    assert got["a"] == 11.0 and runlog.nearest_ranks(t.limit(0), "g", "v", 0.95, "p").count() == 0
+
+
+@pytest.mark.parametrize("chunk", [3, 10_000])
+def test_chunks_of_a_run_equal_the_whole(spark, monkeypatch, chunk):
+    monkeypatch.setattr(runlog, "CHUNK_STEPS", chunk)
+    r = random.Random(chunk)
+    rows = [(run, step, r.choice([None, round(r.random(), 2)])) for run in ("a", "b") for step in sorted(r.sample(range(100), 40))]
+    t = log(spark, rows)
+    carried = {(x.run_id, x.global_step): x.last for x in runlog.carry_forward(t, "v", "last").collect()}
+    moved = {(x.run_id, x.global_step): (x.best, x.improved, x.streak) for x in runlog.progress(t, "v").collect()}
+    for run in ("a", "b"):
+        last, best, streak = None, None, 0
+        for _, step, v in (x for x in rows if x[0] == run):
+            last = v if v is not None else last
+            assert carried[run, step] == last
+            if v is not None:
+                improved = best is None or v < best
+                best, streak = (v, 0) if improved else (best, streak + 1)
+                assert moved[run, step] == (best, improved, streak)
 
 
 def test_sweep_statistics(spark):
