@@ -343,6 +343,10 @@ class Scanner:
         else:
             which, item, place = self.index.expand(np.arange(len(at)), k)
             at, pair = at[which], row[which] * n_items + item
+            if len(norms) * n_items <= EXPANDED:  # few enough cells to count without sorting
+                enough = np.bincount(pair, minlength=len(norms) * n_items).reshape(-1, n_items) >= self.index.least
+                ok = enough.ravel()[pair]
+                at, pair, place = at[ok], pair[ok], place[ok]
         if not len(at):
             return []
         diagonal = at - edges[pair // n_items] - place
