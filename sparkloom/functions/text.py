@@ -79,3 +79,29 @@ def missing(c: Column, needles: Column) -> Column:
     """Needles that c does not contain, in order; a null text misses all, a null list nothing."""
     text = F.coalesce(c, F.lit(""))
     return F.filter(F.coalesce(needles, F.array().cast("array<string>")), lambda n: ~F.contains(text, n))
+
+
+def name_list(raw: str) -> set[str]:
+    """Names of a comma-separated list, in lower case; blanks are left out."""
+    return {x.strip().lower() for x in raw.split(",") if x.strip()}
+
+
+def positive_numbers(raw: str) -> list[int]:
+    """Distinct positive integers of a list separated by commas or blanks, in order; anything else raises."""
+    out = [int(x) for x in raw.replace(",", " ").split()]
+    if not out or min(out) < 1:
+        raise ValueError("a list of positive integers is needed")
+    return list(dict.fromkeys(out))
+
+
+def limits(pairs: list[str]) -> list[tuple[str, int]]:
+    """(name, limit) of each name=limit; one without the sign raises."""
+    split = [p.partition("=") for p in pairs]
+    if any(not sign for _, sign, _ in split):
+        raise ValueError("name=limit is needed")
+    return [(n.strip(), int(v)) for n, _, v in split]
+
+
+def mask_path(path: Column) -> Column:
+    """The loss mask's file beside a token file: its stem with _loss_mask."""
+    return F.regexp_replace(path, r"^(.*?)(\.[^./]+)?$", "$1_loss_mask$2")

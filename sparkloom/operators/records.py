@@ -84,6 +84,20 @@ def render() -> Column:
     return F.when(F.col("text").isNotNull(), F.col("text")).otherwise(F.concat(F.array_join(body, "\n"), F.lit("\n")))
 
 
+def render_prompt(system: str = "") -> Column:
+    """The rendering up to where the assistant is to answer: system (or a default), context where there is some, messages; no steps."""
+    part = lambda tag, c: F.concat(F.lit("\n<|"), tag, F.lit("|>\n"), F.coalesce(c, F.lit("")), F.lit("\n"))
+    messages = F.transform(F.filter(F.coalesce("messages", F.array().cast("array<struct<role:string,content:string>>")), lambda m: m.isNotNull()), lambda m: part(F.coalesce(m["role"], F.lit("user")), m["content"]))
+    context = F.when(F.coalesce("repo_context", F.lit("")) != "", part(F.lit("repo_context"), F.col("repo_context"))).otherwise("")
+    return F.concat(F.lit("<|system|>\n"), F.coalesce("system", F.lit(system)), F.lit("\n"), context, F.array_join(messages, ""), F.lit("\n<|assistant|>\n"))
+
+
+def user_prompt(prompt: Column) -> Column:
+    """The first user's part of a rendered prompt; a prompt without the user's tag as a whole."""
+    rest = F.substring_index(F.substr(prompt, F.instr(prompt, F.lit("<|user|>\n")) + 9), "\n\n<|assistant|>", 1)
+    return F.when(F.contains(prompt, F.lit("<|user|>\n")), strip(rest)).otherwise(prompt)
+
+
 def render_plain() -> Column:
     """Parts without tags, for length limits only."""
     return F.when(F.col("text").isNotNull(), F.col("text")).otherwise(F.array_join(F.transform(segments(), lambda s: s["body"]), "\n"))

@@ -179,3 +179,28 @@ def infer_model_name(path: Column, params: Column) -> Column:
     stated = F.coalesce(*[F.nullif(F.try_element_at(params, F.lit(k)), F.lit("")) for k in ("model_name", "manifest.model_name")])
     guess = F.when(F.contains(name, F.lit("transformer")), "transformer").when(F.contains(name, F.lit("mamba")), "pure_mamba_like").when(F.contains(name, F.lit("raam")), "raam").otherwise("unknown")
     return F.coalesce(stated, guess)
+
+
+def timeline(df: DataFrame, order: str, name: str) -> DataFrame:
+    """One row over checkpoints with target_passed, target_cases, anchor_passed and anchor_cases: how many there are, the first at which
+    all targets pass, the first at which the anchors pass as well, and the most passes of either."""
+    all_of = lambda kind: (F.coalesce(F.col(f"{kind}_cases"), F.lit(0)) > 0) & (F.col(f"{kind}_passed") == F.col(f"{kind}_cases"))
+    first = lambda ok: F.min(F.when(ok, F.struct(order, name)))[name]
+    return df.agg(
+        F.count(F.lit(1)).alias("checkpoints"), first(all_of("target")).alias("first_targets"), first(all_of("target") & all_of("anchor")).alias("first_all"),
+        F.coalesce(F.max("target_passed"), F.lit(0)).alias("best_target"), F.coalesce(F.max("anchor_passed"), F.lit(0)).alias("best_anchor"),
+    )
+
+
+def last_scale(log: DataFrame, order: str, scale: str, new_scale: str, run: str = "run_id") -> DataFrame:
+    """(run, scale): the learning-rate scale a resumed run starts with: the last one logged, a new scale before the row's own; 1.0 without any."""
+    last = F.max(F.when(F.col(scale).isNotNull() | F.col(new_scale).isNotNull(), F.struct(order, F.coalesce(new_scale, scale).alias("v"))))
+    return log.groupBy(run).agg(F.coalesce(last["v"], F.lit(1.0)).alias("scale"))
+
+
+def total_loss(next_loss: Column, recon: Column, recon_weight: Column, horizons: list[tuple[Column, Column]]) -> Column:
+    """Next-token loss plus the weighted reconstruction and horizon losses; a part without a loss or with weight 0 adds nothing."""
+    out = next_loss
+    for loss, weight in [(recon, recon_weight), *horizons]:
+        out = out + F.when(weight != 0, F.coalesce(loss * weight, F.lit(0.0))).otherwise(0.0)
+    return out

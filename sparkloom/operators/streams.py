@@ -41,7 +41,8 @@ def shuffle_chunks(total: DataFrame, size: int, seed: int) -> DataFrame:
     return global_running_sum(chunks.withColumn("__h", order_hash(seed, F.col("chunk"))), "__h", "chunk", F.col("length"), "start").drop("__h")
 
 
-def batch_starts(stream_length: int, window: int, batches: int, seed: int) -> Column:
-    """Start of the window of batch row ``id``, uniform over the stream by hash; 0 where the stream is shorter than a window."""
-    room = max(1, stream_length - window)
-    return F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(room)) if stream_length > window else F.lit(0).cast("bigint")
+def batch_starts(stream_length: int, window: int, seed: int) -> Column:
+    """Start of the window of batch row ``id``, uniform over the stream by hash, the same on every engine; 0 where the stream is shorter than a window."""
+    if stream_length <= window:
+        return F.lit(0).cast("bigint")
+    return F.pmod(F.conv(F.substring(order_hash(seed, F.col("id")), 1, 15), 16, 10).cast("bigint"), F.lit(stream_length - window))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkloom.plans import analysis, converted, corpus, custom, exchange, ordered, scored  # noqa: F401
+from sparkloom.plans import analysis, converted, corpus, custom, exchange, imported, ordered, scored  # noqa: F401
 from sparkloom.plans.registry import ORACLE, QUERIES
 
 
