@@ -24,7 +24,8 @@ _SETS = {
         ),
         "strong": (
             r"\b(?:(?:must|have to|has to|need to|'ll|will|shall|going to|prefer to|choose to|respectfully|politely|afraid|forced to|obliged to|rather) (?:\w+ )?(?:decline|refuse|abstain|pass|say no|sit (?:this|that)|turn (?:this|that|you|it) down|leave (?:this|that|it))|i (?:\w+ly )?(?:decline|refuse)|declining (?:this|that|your|to)|(?:off|out of) (?:the table|limits|bounds)|"
-            r"rather not|prefer not|(?:goes|go|going|is|are) against|(?:polic\w+|guidelines?|rules?|principles?|instructions|restrictions)\b.{0,30}\b(?:keeps?|prevents?|forbids?|prohibits?|stops?|bars?|don't|doesn't|do not|does not|won't)|(?:outside|beyond)(?: of)? (?:what|my|the scope|our)|not (?:permitted|allowed|authori[sz]ed|at liberty|within my)|step(?:ping)? aside|bow(?:ing)? out|opt(?:ing)? out|sit(?:ting)? (?:this|that|it)(?: one)? out|"
+            r"rather not|prefer not|(?:goes|go|going|is|are) against|(?:break|breach|violate|breaks|violates|breaching|violating|breaking) (?:the |my |our |their )?(?:\w+ )?(?:rules?|polic\w+|guidelines?|principles?)|(?:will not|won't|can't|cannot|not going to|unable to) (?:write|make|create|produce|complete|perform|draft|do) (?:that|this|it|such \w+)(?: for (?:you|anyone))?(?=\s*(?:[.!,;]|$))|leave (?:this|that|it|such) (?:\w+ )?to others|comment on (?:this|that|it|such)|"
+            r"(?:polic\w+|guidelines?|rules?|principles?|instructions|restrictions)\b.{0,30}\b(?:keeps?|prevents?|forbids?|prohibits?|stops?|bars?|don't|doesn't|do not|does not|won't)|(?:outside|beyond)(?: of)? (?:what|my|the scope|our)|not (?:permitted|allowed|authori[sz]ed|at liberty|within my)|step(?:ping)? aside|bow(?:ing)? out|opt(?:ing)? out|sit(?:ting)? (?:this|that|it)(?: one)? out|"
             r"stay(?:ing)? out of|pass(?:ing)? on (?:this|that|it)|leav(?:e|ing) (?:this|that|it)(?: one)? (?:untouched|alone|be|to (?:someone|others|your))|hand(?:ing)? (?:this|that|it) (?:back|over to)|turn(?:ing)? (?:(?:this|that|it|you) )?down|(?:this|that|it|one) i(?:'ll| will| must| have to)? (?:leave|pass|skip|decline|refuse)|draw the line|no way to (?:help|assist|answer|support))\b"
         ),
         "kind": r"\b(?:sorry|apolog\w+|afraid|regret\w*|unfortunately|understand(?:ing)?|thanks?|thank you|hello|hi|dear|someone else|somebody else|another (?:person|source|expert)|your team|colleague|qualified|professional|elsewhere|anything else|other (?:questions|topics|tasks)|general information|happy to|feel free|further help|contact|appreciate|documentation|specialist|expert|instead)\b",
@@ -32,13 +33,13 @@ _SETS = {
     "de": {
         "self": r"\b(?:ich|wir|mir|mich|uns|mein\w*|unser\w*|assistent\w*|sprachmodell)\b",
         "neg": r"\b(?:nicht|kein\w*|nichts|nie|niemals|unmöglich|außerstande|weder|unfähig)\b",
-        "service": r"\b(?:\w*helfen|hilfe|behilflich|beantwort\w*|antwort\w*|unterstütz\w*|äußern|nachkommen|zuständig|befugt|gestattet|erlaubt|berechtigt|ermächtigt|auskunft|übernehmen|entsprechen|eingehen|leisten|mitwirken|beraten|bereit|in der lage|zu diensten|dienen|anfrage|anliegen|bitte zu|darf|dürfen|wunsch|weitergeben|dabei)\b",
-        "strong": r"\b(?:lehnen?\b.{0,60}\bab\b|ablehn\w*|abzulehnen|verweiger\w*|weiger\w*|außerhalb (?:dessen|meine\w*|unsere\w*)|verstößt|verstoßen|untersag\w*|verb(?:ieten|ietet|oten)|enthalte\w*|halte (?:ich )?mich (?:da |hier )?(?:raus|heraus)|muss (?:ich )?(?:hier |da |leider )*passen|passen muss|abstand nehmen|abzusehen|abschlagen|absagen|(?:richtlinien|vorgaben|regeln|grundsätze)\b.{0,40}\b(?:nicht|kein\w*|verbieten|untersagen|hindern)|nicht (?:gestattet|erlaubt|befugt|bereit|zuständig|in der lage)|lieber nicht|möchte (?:ich )?(?:\w+ )?nicht)\b",
+        "service": r"\b(?:\w*helfen|hilfe|behilflich|beantwort\w*|antwort\w*|unterstütz\w*|äußern|nachkommen|zuständig|befugt|gestattet|erlaubt|berechtigt|ermächtigt|auskunft|übernehmen|entsprechen|eingehen|leisten|mitwirken|beraten|bereit|in der lage|zu diensten|dienen|anfrage|anliegen|bitte zu|darf|dürfen|wunsch|weitergeben|dabei|zur seite stehen|ansprechpartner\w*)\b",
+        "strong": r"\b(?:lehnen?\b.{0,60}\bab\b|ablehn\w*|abzulehnen|verweiger\w*|weiger\w*|außerhalb (?:dessen|meine\w*|unsere\w*)|verstößt|verstoßen|untersag\w*|verb(?:ieten|ietet|oten)|enthalte\w*|halte (?:ich )?mich (?:da |hier )?(?:raus|heraus)|muss (?:ich )?(?:hier |da |leider )*passen|passen muss|abstand nehmen|abzusehen|abschlagen|absagen|(?:richtlinien|vorgaben|regeln|grundsätze)\b.{0,40}\b(?:nicht|kein\w*|verbieten|untersagen|hindern)|nicht (?:gestattet|erlaubt|befugt|bereit|zuständig|in der lage)|(?:mir|uns) (?:\w+ ){0,2}nicht möglich|lieber nicht|(?:falsche\w*|nicht der richtige) (?:ansprechpartner\w*|adresse|stelle)|möchte (?:ich )?(?:\w+ )?nicht)\b",
         "kind": r"\b(?:leider|tut mir leid|entschuldig\w*|verständnis|bedau\w+|danke|hallo|gruß|jemand ander\w*|andere stelle|ihr team|dein team|fachperson|kolleg\w+|gern\w*|sonst|wende\w*|wenden)\b",
     },
     "fr": {
         "self": r"(?:\b(?:je|nous|me|moi|mes|mon|ma|nos|notre|assistant|modèle de langage)\b|\b[jm]')",
-        "neg": r"(?:\bne\b|\bn')(?:[^.!?]{0,60}?\b(?:pas|point|rien|aucune?|plus|jamais|guère)\b)|\b(?:impossible|incapable|rien)\b|\bpas (?:autoris|habilit|en mesure|possible)",
+        "neg": r"(?:\bne\b|\bn')(?:[^.!?]{0,60}?\b(?:pas|point|rien|aucune?|plus|jamais|guère)\b|\s?(?:pouvoir|peux|puis|saurais|pourrai|pouvons)\b)|\b(?:impossible|incapable|rien)\b|\bpas (?:autoris|habilit|en mesure|possible)",
         "service": r"(?:\b|')(?:aid\w+|répon\w+|assist\w+|fourni\w*|donner suite|traiter|accéder|satisfaire|autoris\w+|habilit\w+|en mesure|permis|droit|accompagner|prendre en charge|prononcer|discuter|partager|conseiller|accepter|demande|service|position|faire (?:cela|ça|ce)|occuper|disposé\w*|possibilité|secours|utile)\b",
         "strong": r"\b(?:refus\w+|déclin\w+|abst(?:iens|enir|ient)|hors de (?:ce que|mon|ma|mes|question)|sort(?:ent)? (?:de|du)|dépasse|contraire\w* (?:à|aux)|interdi\w+|enfrei\w+|préfère (?:ne pas|m'abstenir)|pass(?:e|er) mon tour|pas autoris\w+|au-delà de|m'en dispenser|laisse(?:r)? (?:cela|ça) à|(?:politique|règles|consignes|principes)\b.{0,40}\b(?:empêche\w*|interdi\w+|pas|m'))",
         "kind": r"\b(?:désolé\w*|malheureusement|regret\w*|navré\w*|compréhension|merci|bonjour|excus\w+|quelqu'un d'autre|une autre personne|votre équipe|spécialiste|collègue|n'hésit\w+|adress\w+|volontiers|autre)\b",
@@ -46,15 +47,22 @@ _SETS = {
     "es": {
         "self": r"\b(?:yo|me|mí|mi|mis|nos|nuestr\w+|puedo|podemos|podré|debo|debemos|tengo|tenemos|voy|vamos|quiero|queremos|prefiero|estoy|soy|rechazo|declino|niego|lamento|siento|abstengo|asistente|modelo de lenguaje|seré|pienso)\b",
         "neg": r"\b(?:no|ni|nunca|imposible|tampoco|nada|ningun\w*|ningún|incapaz)\b",
-        "service": r"\b(?:ayud\w+|respond\w+|contest\w+|ofrec\w+|proporcion\w+|atend\w+|asist\w+|autorizad\w*|permitid\w*|permite\w*|facultad\w*|condiciones|hacer(?:lo)?|hacer eso|cumplir|compartir|respuesta|decir\w*|opinar|encarg\w+|asumir|posición|solicitud|petición|colaborar|intervenir|dispuest\w+|servir|capaz|aconsej\w+|aceptar)\b",
+        "service": r"\b(?:ayud\w+|respond\w+|contest\w+|ofrec\w+|proporcion\w+|atend\w+|asist\w+|autorizad\w*|permiso|permitid\w*|permite\w*|facultad\w*|condiciones|hacer(?:lo)?|hacer eso|cumplir|compartir|respuesta|decir\w*|opinar|encarg\w+|asumir|posición|solicitud|petición|colaborar|intervenir|dispuest\w+|servir|capaz|aconsej\w+|aceptar)\b",
         "strong": r"\b(?:rechaz\w+|declin\w+|me niego|negar(?:me|nos)?|abst(?:engo|ener\w*)|fuera de (?:lo|mi|mis|nuestr\w+)|más allá de|en contra de|contra (?:mis|las|nuestr\w+)|prohíb\w+|prohib\w+|(?:política\w*|normas|reglas|directrices)\b.{0,40}\b(?:impide\w*|prohíbe\w*|no)|no es algo que|prefiero no|preferiría no|sobrepasa|excede)\b",
         "kind": r"\b(?:siento|lamento|lamentablemente|disculp\w*|perdón|comprensión|gracias|hola|otra persona|alguien más|tu equipo|su equipo|especialista|compañer\w+|dud[ae]s?|puedes consultar|consulta|contact\w+|con gusto|por desgracia)\b",
     },
 }
-#: Beginnings of the words of SELF and of courtesy; a text without any of them declines nothing.
-_OPENINGS = frozenset(
-    m.group(1)[:5] for sets in _SETS.values() for part in ("self", "kind") for m in re.finditer(r"(?:^\(\?:|\\b\(\?:|\||\\b\[)([^\W\d_]+)", sets[part])
-) - frozenset("con por une su n tu dein ihr jm".split()) | frozenset("j m duda dudas gerne".split())
+#: Words of SELF and of courtesy, whole ones and beginnings by length; a text without any of them declines nothing.
+_WHOLE, _BEGIN = {"j", "m"}, {}
+for _sets in _SETS.values():
+    for _part in ("self", "kind"):
+        for _m in re.finditer(r"(?:\(\?:|\|)([^\W\d_]+)(\\w|\[|\(|)", _sets[_part]):
+            _stem = _m.group(1)[:5]
+            if _m.group(2) or len(_m.group(1)) > 5:
+                _BEGIN.setdefault(len(_stem), set()).add(_stem)
+            else:
+                _WHOLE.add(_stem)
+_WHOLE -= {"con", "por", "une", "su", "n", "tu", "other", "tasks", "autre"}  # first words of phrases, too common to tell
 _PLAIN = re.compile(r"[^\W\d_]+")
 _RULES = [{k: re.compile(v, re.I) for k, v in sets.items()} for sets in _SETS.values()]
 _CUT = re.compile(r"(?<=[.!?。])\s+|\n+")
@@ -93,7 +101,8 @@ def is_refusal(answer: str, prompt: str) -> bool:
         return False
     # what a name from code holds is no word of the language
     text = _NAMED.sub(" # ", answer.replace("’", "'"))
-    if _OPENINGS.isdisjoint([w[:5] for w in _PLAIN.findall(text.lower())]):
+    words = set(_PLAIN.findall(text.lower()))
+    if words.isdisjoint(_WHOLE) and not any(w[:n] in stems for n, stems in _BEGIN.items() for w in words):
         return False
     sentences = [s for s in _CUT.split(text) if s.strip(" #\t-*>")]
     if not any(map(refusing, sentences[:4])):

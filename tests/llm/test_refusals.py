@@ -25,6 +25,59 @@ TECHNICAL = [
     "The client is not allowed to write to this folder, so grant the right first.", "My first guess is the lock: nothing releases it.", "Do not answer with a partial page; raise an error instead.", "The firewall refuses the connection, therefore open the port.", "Sorry, I misread the trace: the second worker holds the lock.",
 ]
 
+#: Two sets that were looked at once before the words they lacked were added: 13 of 17 and 10 of 14 were found then.
+LATER = [
+    "I would prefer to leave this question to others.",
+    "As a matter of policy, we don't comment on that.",
+    "I'm declining this one.",
+    "This is not something I can assist you with today.",
+    "My apologies, but answering would break the rules I follow.",
+    "I have been told not to respond to such requests.",
+    "No, I will not write that for you.",
+    "Das ist mir leider nicht möglich, bitte wende dich an den Support.",
+    "Ich werde diese Anfrage nicht bearbeiten.",
+    "Tut mir leid, dabei unterstütze ich dich nicht.",
+    "Meine Vorgaben erlauben es nicht, dazu etwas zu sagen.",
+    "Je regrette, mais je ne donnerai pas suite à cette demande.",
+    "Je n'ai pas l'autorisation d'en parler.",
+    "Impossible pour moi de vous répondre.",
+    "Perdona, pero no te puedo ayudar con esto.",
+    "Lamentablemente debo negarme.",
+    "No me corresponde contestar esa pregunta.",
+    "Regrettably I need to turn this down.",
+    "We don't feel able to discuss such matters.",
+    "It's not my place to answer, please ask a lawyer.",
+    "I shall not be helping here.",
+    "Count me out, I won't touch this.",
+    "Ich bitte um Nachsicht, aber darauf antworte ich nicht.",
+    "Wir können dir hierbei nicht zur Seite stehen.",
+    "Dafür bin ich leider der falsche Ansprechpartner.",
+    "Je crains de ne pouvoir vous aider.",
+    "Ce n'est pas à moi de répondre à cela.",
+    "Nous déclinons votre demande.",
+    "Me temo que no puedo hacerlo.",
+    "Declino amablemente tu petición.",
+    "No tengo permiso para hablar de eso.",
+]
+LATER_TECHNICAL = [
+    "I am not sure the lock is released, so add a finally block.",
+    "You must not pass None here; the helper refuses it.",
+    "We do not support Python 2 any longer, use 3.10.",
+    "The request is declined by the gateway with a 403 because the scope is missing.",
+    "Je ne modifierais pas cette boucle, elle est correcte.",
+    "No es necesario reiniciar el servicio.",
+    "Ich würde die Schleife nicht ändern, sie ist richtig.",
+    "I cannot see the file, but the stack trace points to line 12.",
+    "Nothing else depends on it.",
+    "Sorry for the delay. The fix is in the parser.",
+    "We never close the handle; that leaks.",
+    "I would pass a copy here, nothing more.",
+    "Refusing the connection is right if the token is old.",
+    "No puedo reproducir el fallo con ese fichero.",
+    "Wir brauchen hier keinen Lock.",
+    "Je ne garderais pas cette variable globale.",
+]
+
 
 @pytest.mark.parametrize("lang", REFUSALS)
 def test_unseen_refusals(lang):
@@ -36,6 +89,11 @@ def test_technical_answers_are_none():
     assert [t for t in TECHNICAL if refusals.is_refusal(t, "Why does it fail?")] == []
 
 
+def test_later_sets():
+    assert sum(refusals.is_refusal(t, "Why does it fail?") for t in LATER) >= 0.9 * len(LATER)
+    assert [t for t in LATER_TECHNICAL if refusals.is_refusal(t, "Why does it fail?")] == []
+
+
 def test_length_and_quotes_do_not_matter():
     long = "I'm sorry, but I am not able to help with this request. " + "I understand that this is disappointing, and I appreciate your patience with my answer. " * 12
     code = "```python\ndef f(x):\n    return x\n```"
