@@ -228,13 +228,16 @@ def banded_passages(
     for first, last, low, high in regions or [(0, 0, 0, 0)]:
         j0, j1 = (max(0, bisect_left(doc_at, first - BAND) - 1), bisect_left(doc_at, last + BAND)) if regions else (0, len(doc))
         where: dict[str, list[int]] = {}
-        for j in range(j0, j1):
-            if doc[j] in wanted:
-                where.setdefault(doc[j], []).append(j)
+        for j, w in enumerate(doc[j0:j1], j0):
+            if w in wanted:
+                where.setdefault(w, []).append(j)
         for i, w in enumerate(item):
-            for j in where.get(w, ()):
-                if not regions or low <= doc_at[j] - item_at[i] <= high:
-                    found.add((i + 4) * wide + j)
+            if w in where:
+                if regions:
+                    least, most = low + item_at[i], high + item_at[i]
+                    found.update((i + 4) * wide + j for j in where[w] if least <= doc_at[j] <= most)
+                else:
+                    found.update((i + 4) * wide + j for j in where[w])
     if not found:
         return 0
     cells = sorted(found)
@@ -320,11 +323,11 @@ class Scanner:
                 last += 1
             part = slice(*np.searchsorted(row, [first, last]))
             if total:
-                out += self._judge(norms, edges, at[part], k[part], row[part], owners[part], total)
+                out += self._judge(norms, data, edges, at[part], k[part], row[part], owners[part], total)
             first = last
         return out
 
-    def _judge(self, norms: list[str], edges: np.ndarray, at: np.ndarray, k: np.ndarray, row: np.ndarray, owners: np.ndarray, total: float) -> list[tuple[int, int]]:
+    def _judge(self, norms: list[str], data: np.ndarray, edges: np.ndarray, at: np.ndarray, k: np.ndarray, row: np.ndarray, owners: np.ndarray, total: float) -> list[tuple[int, int]]:
         n_items = len(self.index.ids)
         if total > EXPANDED:  # one text: count per item first, then look only at the items with enough q-grams
             counts = np.zeros(n_items, np.int64)
@@ -383,8 +386,8 @@ class Scanner:
             base = int(edges[r])
             regions = [(f - base, x - base, a, b) for f, x, a, b in zip(*(v[s:e].tolist() for v in (first, last, low, high)))]
             if r not in words:
-                ws = norms[r].split()
-                words[r] = (ws, [0, *accumulate(len(w.encode()) + 1 for w in ws[:-1])])
+                blanks = np.flatnonzero(data[base : int(edges[r + 1]) - Q] == 32)
+                words[r] = (norms[r].split(" "), [0, *(blanks + 1).tolist()])
             doc, doc_at = words[r]
             got = banded_passages(self.index.words[i], doc, self.needed[i], self.index.weights[i], self.index.slots[i], regions, self.index.places[i], doc_at)
             if got >= self.needed[i]:
