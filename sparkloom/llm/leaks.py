@@ -57,6 +57,8 @@ LOOKALIKES = str.maketrans(
     "авекмнорстухіјѕԁԛԝһӏαβεικνορτυχγ",
     "abekmhopctyxijsdqwhlaveikvoptuxy",
 )
+#: ASCII letters and digits in lower case, blanks for all else.
+_ASCII_WORDS = bytes(ord(chr(b).lower()) if chr(b).isalnum() and b < 128 else 32 for b in range(256))
 _MIXED = re.compile("\\S*(?:[a-z][\u0370-\u052f]|[\u0370-\u052f][a-z])\\S*")
 
 
@@ -81,6 +83,8 @@ def normalise(text: str) -> str:
             text = _INVISIBLE.sub("", unicodedata.normalize("NFKD", text)).lower()
             if not text.isascii():
                 text = _MIXED.sub(lambda m: m.group().translate(LOOKALIKES), text)
+    if text.isascii():
+        return " ".join(text.encode().translate(_ASCII_WORDS).decode().split())
     return _NOT_WORD.sub(" ", text.lower()).strip()
 
 
@@ -97,14 +101,15 @@ def _grams(data: np.ndarray) -> np.ndarray:
 def shared_at_least(words: list[str], share: float) -> tuple[int, int]:
     """The lemma's bounds for an item: q-grams it has in common with a text that holds it, in all and in one passage.
 
-    Such a text keeps K = share of the words in passages that each lose at most
-    one word in eight, so in at most K // LEAST_WORDS + K // STAY + 1 runs. A run
+    Such a text spans share of the words by passages that each lose at most one
+    word in eight, so it keeps K, seven in eight of these, in at most
+    K // LEAST_WORDS + K // STAY + 1 runs. A run
     of c characters keeps c - Q + 1 q-grams, and no K words are shorter than the
     K shortest. A passage has at least LEAST_WORDS words in a row, or STAY of
     OF in two runs; longer ones keep more.
     """
     sizes = [len(w.encode()) for w in words]
-    kept = max(1, int(len(words) * share * TOLERANCE))
+    kept = max(1, int(len(words) * share * TOLERANCE * DENSITY * STAY / OF))
     runs = min(kept, kept // LEAST_WORDS + kept // STAY + 1)
     chars = sum(sorted(sizes)[:kept]) + kept - runs
     whole = min((sum(sizes[i : i + LEAST_WORDS]) + LEAST_WORDS - Q for i in range(max(1, len(words) - LEAST_WORDS + 1))), default=1)
@@ -112,6 +117,19 @@ def shared_at_least(words: list[str], share: float) -> tuple[int, int]:
     return max(1, chars - runs * (Q - 1)), max(1, min(whole, broken))
 
 
+def unseen_words(words: list[str], needed: float) -> float:
+    """The most weight of kept words that no q-gram of a shared run shows: those of runs shorter than Q, one for each lost word at most."""
+    sizes = [len(w.encode()) + 1 for w in words]
+    most = first = total = 0
+    for last, size in enumerate(sizes):
+        total += size
+        while total - 1 >= Q:
+            total -= sizes[first]
+            first += 1
+        most = max(most, last + 1 - first)
+    return (needed / OF + 1) * most
+
+
 class ItemIndex:
     """Q-grams of a block of items, behind a bitmap that most corpus q-grams fail; items too short for passages as whole phrases."""
 
@@ -146,6 +164,14 @@ class ItemIndex:
         self.first = np.r_[first, len(g)]
         self.owner = (np.concatenate(owner) if grams else np.zeros(0, np.int64))[order]
         self.place = (np.concatenate(place) if grams else np.zeros(0, np.int64))[order]
+        # the bytes of each item, and where its words stand and how long they are
+        self.bytes = np.array([len(g) + Q - 1 for g in grams], np.int64)
+        self.word_first = np.r_[0, np.cumsum([len(w) for w in self.words])].astype(np.int64)
+        self.word_place = np.array([x for places in self.places for x in places], np.int64)
+        self.word_size = np.array([len(w.encode()) for words in self.words for w in words], np.int64)
+        self.weight = np.concatenate([np.zeros(0), *map(np.asarray, self.weights)])
+        needed = [share * TOLERANCE * sum(w) for w in self.weights]
+        self.least_seen = np.array([n * DENSITY * STAY / OF - unseen_words(w, n) for n, w in zip(needed, self.words)])
         self.shift = np.uint64(64 - bits)
         self.seen = np.zeros(1 << bits, bool)
         self.seen[self._slot(self.grams)] = True
@@ -230,14 +256,20 @@ def banded_passages(
         where: dict[str, list[int]] = {}
         for j, w in enumerate(doc[j0:j1], j0):
             if w in wanted:
-                where.setdefault(w, []).append(j)
+                if w in where:
+                    where[w].append(j)
+                else:
+                    where[w] = [j]
         for i, w in enumerate(item):
             if w in where:
+                row = (i + 4) * wide
                 if regions:
                     least, most = low + item_at[i], high + item_at[i]
-                    found.update((i + 4) * wide + j for j in where[w] if least <= doc_at[j] <= most)
+                    for j in where[w]:
+                        if least <= doc_at[j] <= most:
+                            found.add(row + j)
                 else:
-                    found.update((i + 4) * wide + j for j in where[w])
+                    found.update([row + j for j in where[w]])
     if not found:
         return 0
     cells = sorted(found)
@@ -379,6 +411,7 @@ class Scanner:
         owner, counts = owner[strong], counts[strong]
         pairs, begins = np.unique(owner, return_index=True)
         ok = np.add.reduceat(counts, begins) >= self.index.least[pairs % n_items]
+        ok[ok] = self._seen_enough(pairs[ok], begins[ok], np.r_[begins[1:], len(owner)][ok], strong, region, place)
         found = []
         words: dict[int, tuple[list[str], list[int]]] = {}
         for p, s, e in zip(pairs[ok].tolist(), begins[ok].tolist(), np.r_[begins[1:], len(owner)][ok].tolist()):
@@ -394,6 +427,28 @@ class Scanner:
                 found.append((r, i))
         return found
 
+    def _seen_enough(self, pairs: np.ndarray, begins: np.ndarray, ends: np.ndarray, strong: np.ndarray, region: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Whether the q-grams of each pair's regions cover words of enough weight; begins and ends are its regions among the strong ones."""
+        if not len(pairs):
+            return np.zeros(0, bool)
+        regions = ends - begins
+        owner = np.full(int(region[-1]) + 1, -1)
+        owner[strong[np.repeat(begins - np.r_[0, np.cumsum(regions)[:-1]], regions) + np.arange(regions.sum())]] = np.repeat(np.arange(len(pairs)), regions)
+        which = owner[region]
+        hit = which >= 0
+        which, place = which[hit], place[hit]
+        index, item = self.index, pairs % len(self.index.ids)
+        base = np.r_[0, np.cumsum(index.bytes[item] + 1)]
+        size = int(base[-1]) + 1
+        edge = np.bincount(base[which] + place, minlength=size) - np.bincount(base[which] + place + Q, minlength=size)
+        covered = np.r_[0, np.cumsum(np.cumsum(edge) > 0)]  # bytes covered before each byte
+        n_words = index.word_first[item + 1] - index.word_first[item]
+        starts = np.r_[0, np.cumsum(n_words)[:-1]]
+        word = np.repeat(index.word_first[item] - starts, n_words) + np.arange(n_words.sum())
+        at = np.repeat(base[:-1], n_words) + index.word_place[word]
+        whole = covered[at + index.word_size[word]] - covered[at] == index.word_size[word]
+        return np.add.reduceat(np.where(whole, index.weight[word], 0.0), starts) >= index.least_seen[item]
+
 
 def find_leaks(
     corpus: DataFrame, items: DataFrame, *, id_column: str = "doc_id", text_column: str = "text",
