@@ -37,16 +37,6 @@ def frequencies(df: DataFrame, key: str, text: str) -> DataFrame:
     return tokens(df, key, text).groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(key, "pos")).alias("first"))
 
 
-def counts(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, token, n, pos): each distinct token of a document with its first place; enough for frequencies and for sums over the encoding."""
-    return tokens(df, key, text).groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("pos"))
-
-
-def total(counted: DataFrame, key: str) -> DataFrame:
-    """frequencies of counts."""
-    return counted.groupBy("token").agg(F.sum("n").alias("n"), F.min(F.struct(key, "pos")).alias("first"))
-
-
 def vocabulary(freq: DataFrame, size: int, least: int = 1) -> DataFrame:
     """(token, id, n) of learned tokens, most frequent first, earlier-seen first among equals; ids follow specials and bytes.
 
