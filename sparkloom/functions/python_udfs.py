@@ -5,6 +5,7 @@ from __future__ import annotations
 import ast
 import difflib
 import json
+import re
 import subprocess
 import sys
 
@@ -119,6 +120,51 @@ def decode_tokens(tokens: pd.Series) -> pd.Series:
     return tokens.map(one)
 
 
+_HUNK = re.compile(r"@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@")
+
+
+def applies(patch: str, files: dict[str, str]) -> bool:
+    """Whether a unified diff can be applied to files (path to text): paths known, counts as stated, every old line found.
+
+    A hunk may stand elsewhere than stated, as long as its old lines are found
+    in a row behind the hunk before it.
+    """
+    lines, at, seen = patch.splitlines(), 0, 0
+    while at < len(lines):
+        if not (lines[at].startswith("--- ") and at + 1 < len(lines) and lines[at + 1].startswith("+++ ")):
+            at += 1
+            continue
+        path = re.sub(r"^a/", "", lines[at][4:].split("\t")[0].strip())
+        if path not in files:
+            return False
+        text, behind, at = files[path].splitlines(), 0, at + 2
+        while at < len(lines) and (m := _HUNK.match(lines[at])):
+            old_n, new_n = int(m.group(2) or 1), int(m.group(4) or 1)
+            old, new, at = [], [], at + 1
+            while at < len(lines) and (len(old) < old_n or len(new) < new_n):
+                sign, body = lines[at][:1] or " ", lines[at][1:]
+                if sign not in " -+":
+                    return False
+                old += [body] if sign in " -" else []
+                new += [body] if sign in " +" else []
+                at += 1
+            places = [p for p in range(behind, len(text) - len(old) + 1) if text[p : p + len(old)] == old]
+            if len(old) != old_n or len(new) != new_n or not places:
+                return False
+            behind, seen = min(places, key=lambda p: abs(p + 1 - int(m.group(1)))) + len(old), seen + 1
+    return seen > 0
+
+
+def patch_check(files: dict[str, str]):
+    """UDF (text) -> 1.0 where the text is a patch that applies to the files, else 0.0; null for null."""
+
+    @F.pandas_udf(T.DoubleType())
+    def check(patch: pd.Series) -> pd.Series:
+        return patch.map(lambda p: None if p is None else float(applies(p, files)))
+
+    return check
+
+
 def test_runner(enabled: bool = False, seconds: int = 5, memory_mb: int = 512):
     """UDF (code, tests) -> passed. Runs untrusted code, so it must be switched on; off, it returns null.
 

@@ -1,12 +1,13 @@
-"""Queries h01 to h24: source converters, curricula, generators, copy routes and the run tracker, each on whole tables."""
+"""Queries h01 to h28: source converters, curricula, generators, copy routes and the run tracker, each on whole tables."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.cleaning import clean_language
 from sparkloom.functions.text import stable_hash
-from sparkloom.operators import converters, copying, curriculum, generators, records, runlog, tokens, tracker
+from sparkloom.operators import converters, copying, curriculum, generators, records, runlog, sequences, tokens, tracker
 from sparkloom.plans.corpus import SEED, big
 from sparkloom.plans.registry import query
 from sparkloom.plans.rules import ROLE, language
@@ -306,3 +307,53 @@ def h24(s, d):
     merged = runlog.merge_params(F.coalesce("params", F.create_map().cast("map<string,string>")), F.create_map(F.lit("seed"), F.lit("new"), F.lit("extra"), F.lit("x")))
     text = F.array_join(F.array_sort(F.transform(F.map_entries(merged), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";")
     return t.select("run_id", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("params")))).alias("j"), text.alias("params")).distinct().select("run_id", "params")
+
+
+@query("h25", """
+SELECT 'd:' || printf('row_%06d', p_partkey) AS _curriculum_source, 'Implement the Python function `f' || p_partkey || '(a)`.' || chr(10) || 'Docstring/behavior:' || chr(10) || p_name || chr(10) || 'Return only a Python code block.' AS prompt, 'path: ' || p_brand AS repo_context,
+ '```python' || chr(10) || 'def f' || p_partkey || '(a):' || chr(10) || '    return a + ' || p_size || chr(10) || '```' AS answer FROM part WHERE p_partkey % 3 = 0""")
+def h25(s, d):
+    """Function rows that parse, with a prompt from signature and docstring; broken and empty ones are dropped."""
+    key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    code = F.concat(F.lit("def f"), key, F.lit("(a):\n    return a + "), size)
+    t = load(s, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, code).when(F.col("p_partkey") % 3 == 1, F.concat(code, F.lit(" + ("))).otherwise("x = 1").alias("func_code"), F.concat(F.lit("f"), key, F.lit("(a)")).alias("signature"), F.col("p_name").alias("docstring"), F.col("p_brand").alias("path"))
+    r = converters.functions(t, F.col("p_partkey"), dataset="d", most_lines=5)
+    return r.select("_curriculum_source", F.col("messages")[0]["content"].alias("prompt"), "repo_context", F.col("messages")[1]["content"].alias("answer"))
+
+
+@query("h26", """
+WITH t AS (SELECT p_partkey, 'def f(a):' || chr(10) || '    return a + ' || p_size AS code, 'assert f(1) == ' || (p_size + 1) AS tests, CASE WHEN p_partkey % 2 = 0 THEN p_name END AS q FROM part WHERE p_partkey % 5 <> 0)
+SELECT 'd:' || printf('row_%06d', p_partkey) AS _curriculum_source, 'code_pytest' AS topic, 'Write focused pytest tests for this Python code:' || chr(10) || '```python' || chr(10) || code || chr(10) || '```' AS prompt, '```python' || chr(10) || tests || chr(10) || '```' AS answer FROM t
+UNION ALL SELECT 'd:' || printf('row_%06d', p_partkey) || ':implementation', 'code_implementation', q || chr(10) || chr(10) || 'The implementation should satisfy these tests:' || chr(10) || tests, '```python' || chr(10) || code || chr(10) || '```' FROM t WHERE q IS NOT NULL""")
+def h26(s, d):
+    """Code with tests as one or two records: write the tests, and with a prompt also write the code."""
+    size = F.col("p_size").cast("string")
+    t = load(s, d, "part").select("p_partkey", F.concat(F.lit("def f(a):\n    return a + "), size, F.when(F.col("p_partkey") % 5 == 0, " + (").otherwise("")).alias("code_ground_truth"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).alias("question"), F.concat(F.lit("assert f(1) == "), (F.col("p_size") + 1).cast("string")).alias("tests"))
+    r = converters.code_with_tests(t, F.col("p_partkey"), F.col("tests"), dataset="d", longest_code=100)
+    return r.select("_curriculum_source", "topic", F.col("messages")[0]["content"].alias("prompt"), F.col("messages")[1]["content"].alias("answer"))
+
+
+@query("h27", """
+SELECT 'd:' || printf('row_%06d', p_partkey) AS _curriculum_source, p_name AS prompt, 'file: m' || p_partkey || '.py' || chr(10) || 'a = 1' || chr(10) || 'x = ' || p_size AS repo_context,
+ '```diff' || chr(10) || '--- a/m' || p_partkey || '.py' || chr(10) || '+++ b/m' || p_partkey || '.py' || chr(10) || '@@ -1,2 +1,2 @@' || chr(10) || ' a = 1' || chr(10) || '-x = ' || p_size || chr(10) || '+x = ' || (p_size + 1) || chr(10) || '```' AS answer FROM part WHERE p_partkey % 4 <> 0""")
+def h27(s, d):
+    """Commits as patch records; unchanged files are dropped, and a path without a suffix gets one."""
+    size = F.col("p_size").cast("string")
+    text = lambda x: F.concat(F.lit("a = 1\nx = "), x, F.lit("\n"))
+    t = load(s, d, "part").select("p_partkey", F.col("p_name").alias("subject"), F.concat(F.lit("m"), F.col("p_partkey").cast("string"), F.when(F.col("p_partkey") % 2 == 0, ".py").otherwise("")).alias("path"), text(size).alias("old_contents"), text(F.when(F.col("p_partkey") % 4 == 0, size).otherwise((F.col("p_size") + 1).cast("string"))).alias("new_contents"))
+    r = converters.commits(t, F.col("p_partkey"), dataset="d", most_lines=20, longest=200)
+    return r.select("_curriculum_source", F.col("messages")[0]["content"].alias("prompt"), "repo_context", F.col("messages")[1]["content"].alias("answer"))
+
+
+@query("h28", """
+WITH m AS (SELECT record_id, pos, role, substr(sha256(content), 1, 8) AS token FROM (SELECT record_id, unnest(messages).role AS role, unnest(messages).content AS content, generate_subscripts(messages, 1) - 1 AS pos FROM (SELECT record_id, min(messages) AS messages FROM agentcoder_slice_train WHERE messages IS NOT NULL GROUP BY 1))),
+ a AS (SELECT record_id, token, row_number() OVER (PARTITION BY record_id ORDER BY pos) - 1 AS segment FROM m WHERE role = 'user'), o AS (SELECT record_id, pos, row_number() OVER (PARTITION BY record_id ORDER BY pos) - 1 AS segment FROM m WHERE role = 'assistant')
+SELECT o.record_id, o.segment::BIGINT AS segment, o.pos::BIGINT AS first, a.token AS requested FROM o LEFT JOIN a USING (record_id, segment)""")
+def h28(s, d):
+    """Each answer of a record with the request that it serves: the n-th request goes to the n-th answer."""
+    t = load(s, d, "agentcoder_slice_train").filter("messages IS NOT NULL").groupBy("record_id").agg(F.min("messages").alias("messages"))
+    m = t.select("record_id", F.posexplode("messages").alias("pos", "m")).select("record_id", "pos", "m.role", F.substring(F.sha2(F.col("m.content").cast("binary"), 256), 1, 8).alias("token"))
+    w = Window.partitionBy("record_id").orderBy("pos")
+    outputs = m.filter("role = 'assistant'").select("record_id", (F.row_number().over(w) - 1).alias("segment"), big("pos").alias("first"))
+    r = sequences.request_follow(m.filter("role = 'user'").select("record_id", "pos", "token"), outputs, "record_id")
+    return r.select("record_id", big("segment").alias("segment"), "first", "requested")

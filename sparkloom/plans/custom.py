@@ -93,3 +93,13 @@ def u05(s, d):
     code = F.concat(F.lit("def f(x):\n    return x + "), n)
     tests = F.concat(F.lit("assert f(1) == 1 + "), n, F.when(F.col("n_nationkey") % 2 == 0, "").otherwise(" + 1"))
     return load(s, d, "nation").select("n_nationkey", u.test_runner(enabled=True)(code, tests).alias("passed"))
+
+
+@query("u06", "SELECT n_nationkey, CASE WHEN n_nationkey % 4 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS rate FROM nation")
+def u06(s, d):
+    """Patches that apply to a fixed file, and such with another path, another old line or no hunk."""
+    mode = F.col("n_nationkey") % 4
+    path, old = F.when(mode == 1, "other.py").otherwise("file.py"), F.when(mode == 2, "    return b-a").otherwise("    return a-b")
+    hunk = F.when(mode == 3, "").otherwise(F.concat(F.lit("@@ -1,2 +1,2 @@\n def add(a,b):\n-"), old, F.lit("\n+    return a+"), F.col("n_nationkey").cast("string"), F.lit("\n")))
+    patch = F.concat(F.lit("--- a/"), path, F.lit("\n+++ b/"), path, F.lit("\n"), hunk)
+    return load(s, d, "nation").select("n_nationkey", u.patch_check({"file.py": "def add(a,b):\n    return a-b\n"})(patch).alias("rate"))

@@ -119,3 +119,20 @@ def test_overlap_of_nulls_and_clashing_names(spark):
     b = spark.createDataFrame([("x", 9), (None, 9), ("x", 9)], "text string, key int")
     assert [r.text for r in curriculum.overlap(a, b, "text").collect()] == ["x"]
     assert sorted((r.text or "", r.key) for r in curriculum.disjoint(a, b, "text").collect()) == [("", 3), ("y", 4)]
+
+
+def test_patches_apply_as_difflib_made_them():
+    import difflib
+    import random
+
+    from sparkloom.functions.python_udfs import applies
+
+    r = random.Random(4)
+    for _ in range(60):
+        old = [r.choice("abcdef") * r.randint(0, 3) for _ in range(r.randint(1, 40))]
+        new = [x for x in old if r.random() > 0.1] + ["tail"]
+        patch = "\n".join(difflib.unified_diff(old, new, "a/f", "b/f", lineterm=""))
+        text = "\n".join(old) + "\n"
+        assert applies(patch, {"f": text}) and not applies(patch, {"g": text})
+        assert not applies(patch.replace("+tail", ""), {"f": text})
+    assert not applies("", {"f": ""}) and not applies("no patch", {"f": "x"})
