@@ -173,11 +173,17 @@ def stable_run_id(source: Column, prefix: str) -> Column:
     return F.concat(F.lit(f"{prefix}-"), slug, F.lit("-"), F.substring(F.sha1(source.cast("binary")), 1, 12))
 
 
+#: What a run's folder may hold in its name, and the kind of model it then is, in order.
+MODEL_WORDS = (("transformer", "transformer"), ("mamba", "pure_mamba_like"), ("raam", "raam"))
+
+
 def infer_model_name(path: Column, params: Column) -> Column:
     """A stated name, else the kind of model that the last part of the path names, else unknown."""
     name = F.lower(F.element_at(F.split(path, "/"), -1))
     stated = F.coalesce(*[F.nullif(F.try_element_at(params, F.lit(k)), F.lit("")) for k in ("model_name", "manifest.model_name")])
-    guess = F.when(F.contains(name, F.lit("transformer")), "transformer").when(F.contains(name, F.lit("mamba")), "pure_mamba_like").when(F.contains(name, F.lit("raam")), "raam").otherwise("unknown")
+    guess = F.lit("unknown")
+    for word, kind in reversed(MODEL_WORDS):
+        guess = F.when(F.contains(name, F.lit(word)), kind).otherwise(guess)
     return F.coalesce(stated, guess)
 
 

@@ -99,9 +99,9 @@ def g05(s, d):
 
 
 @query("g06", """
-SELECT run_id, coalesce(nullif(params['model_name'], ''), CASE WHEN contains(p, 'transformer') THEN 'transformer' WHEN contains(p, 'mamba') THEN 'pure_mamba_like' WHEN contains(p, 'raam') THEN 'raam' ELSE 'unknown' END) AS model,
+SELECT run_id, coalesce(nullif(params['model_name'], ''), CASE @ ELSE 'unknown' END) AS model,
  'backfill-' || substr(regexp_replace(regexp_replace(lower(run_id || ' ' || coalesce(params['mixer'], '')), '[^\\p{L}\\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60) || '-' || substr(sha1('runs/' || run_id || ' ' || coalesce(params['mixer'], '')), 1, 12) AS stable_id
- FROM (SELECT DISTINCT run_id, params, lower(run_id || ' ' || coalesce(params['mixer'], '')) AS p FROM run_registry WHERE run_id IS NOT NULL)""")
+ FROM (SELECT DISTINCT run_id, params, lower(run_id || ' ' || coalesce(params['mixer'], '')) AS p FROM run_registry WHERE run_id IS NOT NULL)""".replace("@", " ".join(f"WHEN contains(p, '{w}') THEN '{k}'" for w, k in runlog.MODEL_WORDS)))
 def g06(s, d):
     """Model and stable id of every run folder."""
     t = load(s, d, "run_registry").filter("run_id IS NOT NULL").select("run_id", "params", F.concat(F.lit("runs/"), "run_id", F.lit(" "), F.coalesce(F.try_element_at("params", F.lit("mixer")), F.lit(""))).alias("path"))

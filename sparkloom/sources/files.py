@@ -226,7 +226,7 @@ def load_json(path: str, default=None, strict: bool = True):
         return default
 
 
-#: Dependent settings: where the flag is false, the setting takes the value; ``head_count`` follows ``like`` where it is null.
+#: Fixed values, dependent settings: where the flag is false, the setting takes the value; a name of FOLLOWS takes the other's value where it is null.
 TOGGLES = (
     ("use_dynamic_hourglass_compression", ("compression", "enabled"), False),
     ("use_curriculum_mtp", ("mtp", "enabled"), False),
