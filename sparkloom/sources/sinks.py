@@ -87,15 +87,35 @@ def read_token_parts(folder: str) -> np.ndarray:
 
 
 def write_files(df: DataFrame, folder: str) -> None:
-    """One file per row (name, text) of a bounded table, written by the driver; a name may hold folders."""
-    rows = df.select("name", "text").limit(MOST_REPORT_ROWS + 1).collect()
-    if len(rows) > MOST_REPORT_ROWS:
-        raise ValueError("too many files")
+    """One file per row (name, text), written by the executors, any number of them; a name may hold folders.
+
+    ``folder`` is a path or URI that the executors share. Rows of one name meet
+    in one task. A file is written under a name of its attempt, which hidden
+    files have, and renamed when it is whole.
+    """
+
+    def write(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        files, root = _filesystem(folder)
+        made, attempt = set(), TaskContext.get().taskAttemptId()
+        for b in batches:
+            for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                inside, _, last = f"{root}/{name}".rpartition("/")
+                if inside not in made:
+                    files.create_dir(inside, recursive=True)
+                    made.add(inside)
+                temporary = f"{inside}/.{last}.{attempt}"
+                with files.open_output_stream(temporary) as f:
+                    f.write((text or "").encode())
+                files.move(temporary, f"{inside}/{last}")
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
     files, root = _filesystem(folder)
-    for name, text in rows:
-        files.create_dir(os.path.dirname(f"{root}/{name}"), recursive=True)
-        with files.open_output_stream(f"{root}/{name}") as f:
-            f.write((text or "").encode())
+    files.create_dir(root, recursive=True)
+    rows = df.select(F.col("name").cast("string"), F.col("text").cast("string")).repartition(df.sparkSession.sparkContext.defaultParallelism, "name")
+    rows.mapInArrow(write, "n bigint").agg(F.sum("n")).collect()
 
 
 def format_value(value) -> str:

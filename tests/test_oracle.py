@@ -6,6 +6,7 @@ import os
 import pytest
 
 from sparkloom.plans import catalogue
+from sparkloom.sources import sinks
 
 duckdb = pytest.importorskip("duckdb")
 
@@ -34,6 +35,13 @@ def test_equals_oracle(spark, oracle, sf_dir, name):
     assert rows == sorted(tuple(_value(r[i]) for i in at) for r in theirs.fetchall())
 
 
+@pytest.mark.parametrize("name", ["i04"])
+def test_any_number_of_files(spark, oracle, sf_dir, monkeypatch, name):
+    """Files of more rows than a report may have."""
+    monkeypatch.setattr(sinks, "MOST_REPORT_ROWS", 5)
+    test_equals_oracle(spark, oracle, sf_dir, name)
+
+
 def test_no_cartesian_product(spark, sf_dir):
     for name, q in catalogue.queries().items():
         if name.startswith("q"):

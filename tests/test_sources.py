@@ -86,6 +86,15 @@ def test_sinks(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "o")).collect()[0][0] == '{"t": "\\u00e9"}'
 
 
+def test_files_are_written_by_the_executors(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "MOST_REPORT_ROWS", 5)
+    sinks.write_files(spark.range(40).selectExpr("concat('d', id % 7, '/', id, '.txt') AS name", "if(id = 3, NULL, concat('é', id)) AS text"), str(tmp_path / "o"))
+    got = {p.relative_to(tmp_path / "o").as_posix(): p.read_text() for p in (tmp_path / "o").rglob("*") if p.is_file()}
+    assert got == {f"d{i % 7}/{i}.txt": "" if i == 3 else f"é{i}" for i in range(40)}
+    sinks.write_files(spark.createDataFrame([], "name string, text string"), str(tmp_path / "none"))
+    assert list((tmp_path / "none").iterdir()) == []
+
+
 def test_python_functions(spark):
     t = spark.createDataFrame([("def f():\n return 1", 'x {"a": {"b": 1}} y'), ("def (", "{nope"), (None, None)], "c string, j string")
     got = t.select(u.python_syntax_ok("c"), u.first_function_name("c"), u.first_json_object("j")).collect()
