@@ -35,7 +35,7 @@ def test_equals_oracle(spark, oracle, sf_dir, name):
     assert rows == sorted(tuple(_value(r[i]) for i in at) for r in theirs.fetchall())
 
 
-@pytest.mark.parametrize("name", ["f12", "i04", "i05"])
+@pytest.mark.parametrize("name", ["f12", "f13", "i04", "i05"])
 def test_any_number_of_files(spark, oracle, sf_dir, monkeypatch, name):
     """Files of more rows than a report may have."""
     monkeypatch.setattr(sinks, "MOST_REPORT_ROWS", 5)
