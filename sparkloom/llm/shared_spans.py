@@ -17,6 +17,8 @@ from sparkloom.session import cut_lineage
 FULL_PAIRS = 64
 #: Texts of a block of a larger bucket; its pairs are made block by block.
 BLOCK = 256
+#: Characters of a block of texts that a task holds against another block; a longer text makes its own.
+BLOCK_CHARS = 1 << 22
 SEED_BYTES = 256
 #: Rows of six numbers that may be sent to every task.
 BROADCAST_ROWS = 200_000
@@ -160,6 +162,15 @@ def _block_pairs(members: DataFrame, keys: list[str]) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
+def _shared_seeds(texts: DataFrame, span: int) -> DataFrame:
+    """(h, doc_id, n): the class representatives under each seed that n > 1 of them have."""
+    raw = seeds(texts, span)
+    # few seeds are in more than one text; computing them anew for these costs less than keeping all
+    several = raw.groupBy("h").agg(F.min("digest").alias("least"), F.max("digest").alias("most")).filter("least <> most").select("h")
+    occ = cut_lineage(raw.join(several, "h").groupBy("h", "digest").agg(F.min("doc_id").alias("doc_id")))
+    return occ.select("h", "doc_id").join(occ.groupBy("h").agg(F.count(F.lit(1)).alias("n")), "h")
+
+
 def candidate_pairs(texts: DataFrame, span: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(to compare, sure, stars): pairs (a, b), a < b, of class representatives.
 
@@ -172,11 +183,7 @@ def candidate_pairs(texts: DataFrame, span: int) -> tuple[DataFrame, DataFrame,
     least doc_id with every member; comparing these is enough to tell which
     places of the members are shared.
     """
-    raw = seeds(texts, span)
-    # few seeds are in more than one text; computing them anew for these costs less than keeping all
-    several = raw.groupBy("h").agg(F.min("digest").alias("least"), F.max("digest").alias("most")).filter("least <> most").select("h")
-    occ = cut_lineage(raw.join(several, "h").groupBy("h", "digest").agg(F.min("doc_id").alias("doc_id")))
-    occ = occ.select("h", "doc_id").join(occ.groupBy("h").agg(F.count(F.lit(1)).alias("n")), "h")
+    occ = _shared_seeds(texts, span)
     cold = _bucket_pairs(occ.filter(F.col("n") <= FULL_PAIRS), ["h"])
     hot = occ.filter(F.col("n") > FULL_PAIRS)
     wide = _window_groups(texts, hot, span)
@@ -209,16 +216,20 @@ def _runs(flags: np.ndarray, span: int) -> list[tuple[int, int]]:
     return out
 
 
-def anchors_of(cx: np.ndarray, cy: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int, int]]]:
-    """(places in x, places in y, areas of repeats) of the winnowed k-mers both texts have.
+def _places(codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(places by hash, different hashes, first place of each, number of places) of the winnowed k-mers of a text."""
+    at, h = kmers.winnow(codes, np.array([0]), np.array([len(codes)]), k, k)
+    order = np.argsort(h, kind="stable")
+    return at[order], *np.unique(h[order], return_index=True, return_counts=True)
+
+
+def anchors_of(x: tuple, y: tuple, k: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int, int]]]:
+    """(places in x, places in y, areas of repeats) of the winnowed k-mers both texts have, by the _places of each.
 
     A seed gives all pairs of its places up to REPEATS of them. One repeated
     more often gives its first and last places and the area it spreads over.
     """
-    one = np.array([0])
-    (ax, hx), (ay, hy) = (kmers.winnow(c, one, np.array([len(c)]), k, k) for c in (cx, cy))
-    (ux, fx, nx), (uy, fy, ny) = (np.unique(h[np.argsort(h, kind="stable")], return_index=True, return_counts=True) for h in (hx, hy))
-    ax, ay = ax[np.argsort(hx, kind="stable")], ay[np.argsort(hy, kind="stable")]
+    (ax, ux, fx, nx), (ay, uy, fy, ny) = x, y
     _, px, py = np.intersect1d(ux, uy, assume_unique=True, return_indices=True)
     fx, nx, fy, ny = fx[px], nx[px], fy[py], ny[py]
     single = (nx == 1) & (ny == 1)
@@ -269,6 +280,11 @@ def fuzzy_passages(cx: np.ndarray, cy: np.ndarray, ax: np.ndarray, ay: np.ndarra
     return out
 
 
+def _chain_passages(cx: np.ndarray, cy: np.ndarray, ax: np.ndarray, ay: np.ndarray, found: list[tuple[float, list[int]]], k: int, span: int) -> list[tuple]:
+    """The passages of all chains of more than an anchor."""
+    return [p for score, path in found if score >= 2 * k for p in fuzzy_passages(cx, cy, ax, ay, path, k, span)]
+
+
 def compare(x: str, y: str, span: int, fuzzy: bool = False) -> dict:
     """Verbatim spans of two texts inside the areas their chains of seeds propose; fuzzy adds the aligned passages.
 
@@ -279,7 +295,7 @@ def compare(x: str, y: str, span: int, fuzzy: bool = False) -> dict:
     """
     cx, cy = (np.frombuffer(t.encode("utf-32-le"), "<u4") for t in (x, y))
     k = max(4, span // 12)
-    ax, ay, areas = anchors_of(cx, cy, k)
+    ax, ay, areas = anchors_of(_places(cx, k), _places(cy, k), k)
     found = chaining.chains(ax, ay, k)
     for _, path in found:
         areas.append((int(ax[path].min()), int(ax[path].max()) + k, int(ay[path].min()), int(ay[path].max()) + k))
@@ -293,7 +309,7 @@ def compare(x: str, y: str, span: int, fuzzy: bool = False) -> dict:
     spans_x, spans_y = _runs(in_x, span), _runs(in_y, span)
     if spans_x and not any(x[s : s + span] in y for s, _ in spans_x):  # a hash met by chance
         spans_x, spans_y = [], []
-    passages = [p for score, path in found if score >= 2 * k for p in fuzzy_passages(cx, cy, ax, ay, path, k, span)] if fuzzy else []
+    passages = _chain_passages(cx, cy, ax, ay, found, k, span) if fuzzy else []
     return {"passages": passages, "spans_a": spans_x, "spans_b": spans_y}
 
 
@@ -328,17 +344,69 @@ def compare_pairs(texts: DataFrame, pairs: DataFrame, span: int, fuzzy: bool = F
     return both.mapInArrow(run, schema)
 
 
+def _block_passages(texts: DataFrame, hot: DataFrame, span: int) -> DataFrame:
+    """(a, b, first_a, last_a, first_b, last_b, kept) of all pairs a < b of the texts (h, doc_id, n) under a seed, however many.
+
+    Seeds of the same texts are one set. A set is cut into blocks, and a task
+    holds one block against one, so each text is sent once for every block and
+    its places are worked out once a task. A pair that several sets hold is
+    compared in the least of them.
+    """
+    k = max(4, span // 12)
+    code = F.xxhash64(F.lit(11), "doc_id")
+    sets = hot.groupBy("h", "n").agg(F.min("doc_id").alias("a"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(code).alias("y"))
+    members = cut_lineage(hot.select("h", "doc_id").join(sets.groupBy("n", "a", "x", "y").agg(F.min("h").alias("h")).select("h"), "h"))
+    under = texts.select("doc_id", "text").join(_counted(members.select("doc_id").distinct()), "doc_id", "left_semi")
+    sized = members.join(under.groupBy("doc_id").agg(F.max(F.length("text")).alias("n_chars")), "doc_id")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n_chars") / BLOCK_CHARS)).cast("int")
+    m = members.join(sized.groupBy("h").agg(blocks.alias("blocks")), "h").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    cells = m.select("h", "doc_id", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    cells = cells.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id")
+    own_sets = members.groupBy("doc_id").agg(F.collect_list("h").alias("sets"))
+    cells = cells.join(own_sets, "doc_id").join(under, "doc_id")
+    names = ["a", "b", *_PASSAGE]
+
+    def run(cell: pa.Table) -> pa.Table:
+        h, i, j = (cell.column(n)[0].as_py() for n in ("h", "i", "j"))
+        held: dict[int, tuple] = {}
+        for doc_id, own, among, text in zip(*(cell.column(n).to_pylist() for n in ("doc_id", "own", "sets", "text"))):
+            if doc_id not in held or text < held[doc_id][2]:  # of a text delivered in two forms the lesser, as in compare_pairs
+                held[doc_id] = (own, frozenset(among), text)
+        ids, out, rows = sorted(held), [], []
+        codes = {d: np.frombuffer(held[d][2].encode("utf-32-le"), "<u4") for d in ids}
+        places = {d: _places(codes[d], k) for d in ids}
+
+        def keep() -> None:
+            columns = np.array(rows, np.int64).reshape(-1, len(names)).T
+            out.append(pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names))
+            rows.clear()
+
+        for at, a in enumerate(ids):
+            for b in ids[at + 1 :]:
+                if (i != j and held[a][0] == held[b][0]) or min(held[a][1] & held[b][1]) != h:
+                    continue
+                ax, ay, _ = anchors_of(places[a], places[b], k)
+                rows.extend((a, b, *p) for p in _chain_passages(codes[a], codes[b], ax, ay, chaining.chains(ax, ay, k), k, span))
+            if len(rows) > 10_000:
+                keep()
+        keep()
+        return pa.Table.from_batches(out)
+
+    return cells.groupBy("h", "i", "j").applyInArrow(run, ", ".join(f"{n} bigint" for n in names))
+
+
 def passages(texts: DataFrame, span: int, least_kept: float = 0.8) -> DataFrame:
     """(doc_id_a, doc_id_b, first_a, last_a, first_b, last_b, kept_ratio): passages that two texts share up to edits.
 
-    Chains of the pairs of class representatives that have a seed in common,
+    Chains of all pairs of class representatives that have a seed in common,
     aligned in the gaps between their anchors; of at least half a span, with at
-    least ``least_kept`` of the longer side kept. Of texts in one bucket of more than
-    FULL_PAIRS the least is held against every other.
+    least ``least_kept`` of the longer side kept. Seeds in up to FULL_PAIRS
+    texts give single pairs, those in more are compared in blocks.
     """
-    compared, _, stars = candidate_pairs(texts, span)
-    out = compare_pairs(texts, compared.unionByName(stars).distinct(), span, fuzzy=True)
-    out = out.select("a", "b", F.explode("passages").alias("p")).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"), "p.*")
+    occ = _shared_seeds(texts, span)
+    out = compare_pairs(texts, _bucket_pairs(occ.filter(F.col("n") <= FULL_PAIRS), ["h"]).distinct(), span, fuzzy=True)
+    out = out.select("a", "b", F.explode("passages").alias("p")).select("a", "b", "p.*").unionByName(_block_passages(texts, occ.filter(F.col("n") > FULL_PAIRS), span))
+    out = out.withColumnsRenamed({"a": "doc_id_a", "b": "doc_id_b"})
     ratio = F.col("kept") / F.greatest(F.col("last_a") - F.col("first_a"), F.col("last_b") - F.col("first_b"))
     return out.withColumn("kept_ratio", ratio).filter(F.col("kept_ratio") >= least_kept).drop("kept").distinct()
 

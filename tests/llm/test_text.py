@@ -131,6 +131,24 @@ def test_fuzzy_passages(spark):
     assert shared_spans.aligned(*(np.frombuffer(s.encode("utf-32-le"), "<u4") for s in ("abcbdab", "bdcaba"))) == 4
 
 
+@pytest.mark.parametrize("limits", [(4, 3, 1 << 22), (4, 256, 1500)])
+def test_passages_of_all_pairs_of_a_hot_seed(spark, monkeypatch, limits):
+    """A passage in more texts than one bucket pairs gives the passages of all pairs, edited ones as well, as with one bucket."""
+    r = random.Random(31)
+    block, other = words(r, 90), words(r, 70)
+    docs = [(i, words(r, 10) + " " + block + " " + words(r, 10) + (" " + other if i % 3 == 0 else "")) for i in range(12)]
+    cut = block[100:495]  # a seed in common, but no whole span
+    docs += [(20 + i, words(r, 40) + " " + cut + " " + words(r, 40)) for i in range(3)] + [(30, words(r, 150)), (31, None), (40, docs[1][1]), (2, docs[2][1])]
+    t = shared_spans.with_digest(spark.createDataFrame(docs, "doc_id bigint, text string"), "doc_id", "text", 400)
+    want = {tuple(x) for x in shared_spans.passages(t, 400).collect()}
+    for name, value in zip(("FULL_PAIRS", "BLOCK", "BLOCK_CHARS"), limits):
+        monkeypatch.setattr(shared_spans, name, value, raising=False)
+    rows = [tuple(x) for x in shared_spans.passages(t, 400).collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
+    found = {x[:2] for x in rows}
+    assert found >= {(a, b) for a in range(12) for b in range(a + 1, 12)} and {(20, 21), (1, 22)} <= found and not any({30, 40} & set(p) for p in found)
+
+
 def test_one_passage_in_many_documents_stays_linear(spark):
     """A passage of 8,000 characters in 400 texts: one class a seed inside, windows only at its ends."""
     r = random.Random(23)
