@@ -17,6 +17,8 @@ from sparkloom.session import cut_lineage
 FULL_PAIRS = 64
 #: Texts of a block of a larger bucket; its pairs are made block by block.
 BLOCK = 256
+#: Texts of a block whose passages are looked for, which takes longer; small, so that there are many tasks.
+PASSAGE_BLOCK = 64
 #: Characters of a block of texts that a task holds against another block; a longer text makes its own.
 BLOCK_CHARS = 1 << 22
 SEED_BYTES = 256
@@ -358,12 +360,13 @@ def _block_passages(texts: DataFrame, hot: DataFrame, span: int) -> DataFrame:
     members = cut_lineage(hot.select("h", "doc_id").join(sets.groupBy("n", "a", "x", "y").agg(F.min("h").alias("h")).select("h"), "h"))
     under = texts.select("doc_id", "text").join(_counted(members.select("doc_id").distinct()), "doc_id", "left_semi")
     sized = members.join(under.groupBy("doc_id").agg(F.max(F.length("text")).alias("n_chars")), "doc_id")
-    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n_chars") / BLOCK_CHARS)).cast("int")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / PASSAGE_BLOCK, F.sum("n_chars") / BLOCK_CHARS)).cast("int")
     m = members.join(sized.groupBy("h").agg(blocks.alias("blocks")), "h").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     cells = m.select("h", "doc_id", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     cells = cells.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id")
     own_sets = members.groupBy("doc_id").agg(F.collect_list("h").alias("sets"))
     cells = cells.join(own_sets, "doc_id").join(under, "doc_id")
+    cells = cells.repartition(4 * texts.sparkSession.sparkContext.defaultParallelism, "h", "i", "j")  # few bytes, much work: the optimizer would join the tasks
     names = ["a", "b", *_PASSAGE]
 
     def run(cell: pa.Table) -> pa.Table:

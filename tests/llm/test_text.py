@@ -141,7 +141,7 @@ def test_passages_of_all_pairs_of_a_hot_seed(spark, monkeypatch, limits):
     docs += [(20 + i, words(r, 40) + " " + cut + " " + words(r, 40)) for i in range(3)] + [(30, words(r, 150)), (31, None), (40, docs[1][1]), (2, docs[2][1])]
     t = shared_spans.with_digest(spark.createDataFrame(docs, "doc_id bigint, text string"), "doc_id", "text", 400)
     want = {tuple(x) for x in shared_spans.passages(t, 400).collect()}
-    for name, value in zip(("FULL_PAIRS", "BLOCK", "BLOCK_CHARS"), limits):
+    for name, value in zip(("FULL_PAIRS", "PASSAGE_BLOCK", "BLOCK_CHARS"), limits):
         monkeypatch.setattr(shared_spans, name, value, raising=False)
     rows = [tuple(x) for x in shared_spans.passages(t, 400).collect()]
     assert len(rows) == len(set(rows)) and set(rows) == want
