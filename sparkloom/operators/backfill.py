@@ -23,17 +23,21 @@ def maybe_json(c: Column) -> Column:
 
 
 def flatten_json(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """(keys, name, value): the scalars of a JSON text under dotted names, as texts; lists are left out, null scalars kept."""
-    level = df.select(*keys, F.lit("").alias("__at"), F.try_parse_json(value).alias("__v")).filter("__v IS NOT NULL")
-    out = None
+    """(keys, name, value): the scalars of a JSON text under dotted names, as texts; lists are left out, null scalars kept.
+
+    The texts are read once: at every level objects give their members, and the
+    scalars found so far pass as they are.
+    """
+    is_object = F.schema_of_variant("__v").startswith("OBJECT")
+    out = df.select(*keys, F.lit("").alias("__at"), F.try_parse_json(value).alias("__v")).filter("__v IS NOT NULL").filter(is_object)
     for _ in range(DEPTH):
-        parts = level.lateralJoin(level.sparkSession.tvf.variant_explode(F.col("__v").outer()))
-        parts = parts.filter("key IS NOT NULL").select(*keys, F.when(F.col("__at") == "", F.col("key")).otherwise(F.concat("__at", F.lit("."), "key")).alias("__at"), F.col("value").alias("__v"))
-        kind = F.schema_of_variant("__v")
-        scalars = parts.filter(~kind.startswith("OBJECT") & ~kind.startswith("ARRAY")).select(*keys, F.col("__at").alias("name"), F.col("__v").cast("string").alias("value"))
-        out = scalars if out is None else out.unionByName(scalars)
-        level = parts.filter(kind.startswith("OBJECT"))
-    return out
+        members = out.withColumn("__o", F.when(is_object, F.col("__v")))
+        members = members.lateralJoin(members.sparkSession.tvf.variant_explode_outer(F.col("__o").outer()))
+        found = F.col("key").isNotNull()
+        name = F.when(F.col("__at") == "", F.col("key")).otherwise(F.concat("__at", F.lit("."), "key"))
+        members = members.filter(found | F.col("__o").isNull()).select(*keys, F.when(found, name).otherwise(F.col("__at")).alias("__at"), F.when(found, F.col("value")).otherwise(F.col("__v")).alias("__v"))
+        out = members.filter(~F.schema_of_variant("__v").startswith("ARRAY"))
+    return out.filter(~is_object).select(*keys, F.col("__at").alias("name"), F.col("__v").cast("string").alias("value"))
 
 
 def _run_of(path: Column) -> Column:
